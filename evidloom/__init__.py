@@ -1,3 +1,10 @@
 """evidloom: an evidence-graph and text analytics engine on PySpark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions go to the executors by value: the package needn't be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
