@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality_rules", "simhash")
+MODULES = ("quality_rules", "simhash", "url_filters")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
