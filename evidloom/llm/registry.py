@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality_rules", "simhash", "url_filters", "decontamination", "line_dedup", "packing")
+MODULES = ("quality_rules", "simhash", "url_filters", "decontamination", "line_dedup", "packing", "warc")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
