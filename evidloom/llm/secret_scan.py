@@ -62,7 +62,6 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(1)
 def _class_table():
     import numpy as np
 
