@@ -77,3 +77,14 @@ def forget(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def per_worker(key: str, make):
+    """make(), once for each Python worker process and key: what it holds serves all tasks that the worker runs."""
+    import sys
+    from types import ModuleType
+
+    kept = vars(sys.modules.setdefault("_evidloom_worker", ModuleType("_evidloom_worker"))).setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
