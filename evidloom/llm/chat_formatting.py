@@ -118,7 +118,7 @@ def items_of(role: str, text: str, schemas: dict) -> list[tuple]:
 
 
 def items(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """conversations (conv_id, turn, role, text) -> conv_id, turn, ITEM, row: a number of the turn's row, to tell repeated rows apart."""
+    """conversations (conv_id, turn, role, text) -> conv_id, turn and the columns of ITEM, a row for each item."""
     from pyspark.sql.types import StructType
 
     own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

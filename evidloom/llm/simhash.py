@@ -112,17 +112,17 @@ def _majority(hashes):
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, fp long). Hashes are made in the JVM, majorities in numpy, a batch of rows at a time."""
-    hashed = docs.select("doc_id", let(words_of(lower_ascii(F.col("text"))), lambda w: shingle_hashes(w, SHINGLE)).alias("h"))
+    """docs (doc_id, text) -> (doc_id, doc_key, fp), longs; doc_key is a hash of the text. Shingle hashes are made in the JVM, majorities in numpy, a batch of rows at a time."""
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), let(words_of(lower_ascii(F.col("text"))), lambda w: shingle_hashes(w, SHINGLE)).alias("h"))
 
     def majorities(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _majority(b.column(1))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _majority(b.column(2))], names=["doc_id", "doc_key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return hashed.mapInArrow(majorities, f"doc_id {kind}, fp bigint")
+    return hashed.mapInArrow(majorities, f"doc_id {kind}, doc_key bigint, fp bigint")
 
 
 def _keyed(fps: DataFrame) -> DataFrame:
@@ -160,21 +160,32 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return pairs.select("u", "v").unionByName(stars).distinct()
 
 
-def classes(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, fp (long), component_id, one row for each row of docs."""
+def _classes(docs: DataFrame, pair_limit: int) -> DataFrame:
+    """docs -> doc_id, doc_key, fp, root (the class, a fingerprint), component_id: a row for each row of docs."""
     marked = stored(fingerprints(docs), "fingerprints")
     least = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected_components(links(least.select("fp"), pair_limit))
     placed = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = placed.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("__root"), "component_id")
-    of_fp = placed.join(of_root, F.col("root") == F.col("__root")).select(F.col("fp").alias("__fp"), "component_id")
-    return marked.join(of_fp, F.col("fp") == F.col("__fp"), "left").select("doc_id", "fp", "component_id")
+    of_fp = placed.join(of_root, F.col("root") == F.col("__root")).select(F.col("fp").alias("__fp"), "root", "component_id")
+    return marked.join(of_fp, F.col("fp") == F.col("__fp"), "left").select("doc_id", "doc_key", "fp", "root", "component_id")
+
+
+def classes(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, fp (long), component_id, one row for each row of docs."""
+    return _classes(docs, pair_limit).select("doc_id", "fp", "component_id")
 
 
 def distinct_documents(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """One document of each component, with all its columns: that with the smallest doc_id, any one of its rows if the id is repeated."""
-    chosen = classes(docs, pair_limit).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class, with all its columns: that with the smallest doc_id, of its texts in the class that with the least hash, of repeated rows any one."""
+    heads = _classes(docs, pair_limit).where("doc_id <=> component_id")
+    chosen = stored(heads.groupBy("root").agg(F.min(F.struct("doc_id", "doc_key")).alias("c"), F.count("*").alias("n")).select("c.*", "n"), "chosen")
+    chosen = chosen.withColumnsRenamed({"doc_id": "__id", "doc_key": "__key"})
+    kept = docs.join(chosen.drop("n"), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left_semi")
+    # Rows can only repeat here where a class has several rows of its smallest id.
+    if chosen.where("n > 1").isEmpty():
+        return kept
+    return kept.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
