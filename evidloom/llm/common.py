@@ -27,6 +27,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
 
+def rows_with(df: DataFrame, **keys: Column) -> DataFrame:
+    """df's rows as one column, row, beside the keys: whatever df's columns are called, nothing clashes."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
+
+
+def rows_of(df: DataFrame, like: DataFrame) -> DataFrame:
+    """Back from rows_with(): the columns of `like`."""
+    return df.select(*[F.col(f"row.`{c}`").alias(c) for c in like.columns])
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RE), "")

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import ASCII_LOWER, ASCII_UPPER, let, read, stored, words_of
+from evidloom.llm.common import ASCII_LOWER, ASCII_UPPER, let, read, rows_of, rows_with, stored, words_of
 
 SHINGLE = 5
 PUNCTUATION = ".,;:!?\"'()"
@@ -105,8 +105,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    bad = stored(_matches(docs, items).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")).distinct(), "contaminated")
-    return docs.join(_small(bad, BROADCAST_ROWS), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left_anti")
+    bad = stored(_matches(docs, items).select("doc_id", "doc_key").distinct(), "contaminated")
+    own = rows_with(docs, own_id=F.col("doc_id"), own_key=F.xxhash64("text"))
+    return rows_of(own.join(_small(bad, BROADCAST_ROWS), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("doc_key")), "left_anti"), docs)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

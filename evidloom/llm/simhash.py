@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import let, lower_ascii, read, shingle_hashes, stored, words_of
+from evidloom.llm.common import let, lower_ascii, read, rows_of, rows_with, shingle_hashes, stored, words_of
 from evidloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -180,12 +180,10 @@ def distinct_documents(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFra
     """One document of each class, with all its columns: that with the smallest doc_id, of its texts in the class that with the least hash, of repeated rows any one."""
     heads = _classes(docs, pair_limit).where("doc_id <=> component_id")
     chosen = stored(heads.groupBy("root").agg(F.min(F.struct("doc_id", "doc_key")).alias("c"), F.count("*").alias("n")).select("c.*", "n"), "chosen")
-    chosen = chosen.withColumnsRenamed({"doc_id": "__id", "doc_key": "__key"})
-    kept = docs.join(chosen.drop("n"), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left_semi")
+    own = rows_with(docs, own_id=F.col("doc_id"), own_key=F.xxhash64("text"))
+    kept = own.join(chosen.drop("n"), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("doc_key")), "left_semi")
     # Rows can only repeat here where a class has several rows of its smallest id.
-    if chosen.where("n > 1").isEmpty():
-        return kept
-    return kept.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return rows_of(kept if chosen.where("n > 1").isEmpty() else kept.dropDuplicates(["own_id", "own_key"]), docs)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
