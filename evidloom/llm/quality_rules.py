@@ -12,7 +12,7 @@ gains, rejects nothing by score.
 Defined results: a null or blank text has no words and fails the base rules; a null language
 or one outside `strata` belongs to stratum 'other'; labels with a null doc_id, a null quality or
 no document are ignored, repeated labels count as often as they occur; repeated documents
-each get a row; other columns of the documents stay (`flag`) or go (`rate`), whatever their
+each get a row; other columns of the documents stay (`keep`) or go (`rate`), whatever their
 names.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import SPACE_RE, let, read, words_of
+from evidloom.llm.common import let, read, rows_of, rows_with, words_of
 
 STRATA = ("en", "fr", "de", "es")
 #: Cutoffs of the score, in twentieths: a document is rejected if its level is the cutoff or more.
@@ -53,25 +53,39 @@ def _repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(hashes, by_hash))
 
 
+def _totals(text: Column) -> dict[str, Column]:
+    return {
+        "word_chars": F.char_length(F.translate(text, SPACES, "")).cast("long"),
+        "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_upper": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
+    }
+
+
+def _level(c: Column) -> Column:
+    """Of a struct of counts: the greater of the shares of symbols by words and of capitals by characters, in twentieths."""
+    share = lambda a, b: F.when(b > 0, (F.lit(LEVELS) * a / b)).otherwise(F.lit(0.0))
+    most = F.greatest(share(c["n_symbols"], c["n_words"]), share(c["n_upper"], c["word_chars"]))
+    return F.floor(F.least(F.lit(float(LEVELS)), most)).cast("long")
+
+
+def level_of(text: Column) -> Column:
+    """The level of the junk score alone, without the costlier measures."""
+    text = F.coalesce(text, F.lit(""))
+    n = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return let(F.struct(n.alias("n_words"), *[c.alias(k) for k, c in _totals(text).items()]), _level)
+
+
 def measures(text: Column) -> Column:
     """A struct of MEASURES: the base counts as long and the level of the junk score from 0 to LEVELS."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
-        F.char_length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        *[c.alias(k) for k, c in _totals(text).items()],
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(w).cast("long").alias("n_repeat_words"),
-        F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_upper"),
     )
-
-    def scored(c: Column) -> Column:
-        share = lambda a, b: F.when(b > 0, (F.lit(LEVELS) * a / b)).otherwise(F.lit(0.0))
-        level = F.floor(F.least(F.lit(float(LEVELS)), F.greatest(share(c["n_symbols"], c["n_words"]), share(c["n_upper"], c["word_chars"]))))
-        return F.struct(*[c[k].alias(k) for k in MEASURES[:-1]], level.cast("long").alias("level"))
-
-    return let(let(words_of(text), counts), scored)
+    return let(let(words_of(text), counts), lambda c: F.struct(*[c[k].alias(k) for k in MEASURES[:-1]], _level(c).alias("level")))
 
 
 def stratum(lang: Column, strata: tuple[str, ...] = STRATA) -> Column:
@@ -124,29 +138,33 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < MIN_WORDS) | (F.lit(100) * m["n_repeat_words"] > F.lit(50) * m["n_words"])
 
 
-def flag(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """docs with the structs __m (measures) and the booleans __failed and __kept. docs needs doc_id, text, lang."""
-    strata = parameters.get("strata", STRATA)
+def limits(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """The cutoffs that the labelled documents certify: (__stratum, __cutoff)."""
     wanted = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("quality").alias("quality"))
-    rated = docs.select("doc_id", stratum(F.col("lang"), strata).alias("stratum"), measures(F.col("text"))["level"].alias("level"))
+    rated = docs.select("doc_id", stratum(F.col("lang"), parameters.get("strata", STRATA)).alias("stratum"), level_of(F.col("text")).alias("level"))
     scored = rated.join(wanted, rated.doc_id == wanted["__id"]).select("stratum", "level", "quality")
-    limits = cutoffs(scored, **parameters).select(F.col("stratum").alias("__stratum"), F.col("cutoff").alias("__cutoff"))
-    m = docs.select("*", measures(F.col("text")).alias("__m"), stratum(F.col("lang"), strata).alias("__s"))
-    joined = m.join(F.broadcast(limits), F.col("__s") == F.col("__stratum"), "left")
-    failed = base_failed(F.col("__m"))
-    kept = ~failed & ~F.coalesce(F.col("__m.level") >= F.col("__cutoff"), F.lit(False))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__m", failed.alias("__failed"), kept.alias("__kept"))
+    return cutoffs(scored, **parameters).select(F.col("stratum").alias("__stratum"), F.col("cutoff").alias("__cutoff"))
 
 
 def rate(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """One row for each document: doc_id, the base counts, base_failed, kept."""
-    out = flag(docs.select("doc_id", "text", "lang"), labels, **parameters)
-    return out.select("doc_id", *[F.col(f"__m.{k}").alias(k) for k in MEASURES[:-1]], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    m = docs.select("doc_id", measures(F.col("text")).alias("__m"), stratum(F.col("lang"), parameters.get("strata", STRATA)).alias("__s"))
+    joined = m.join(F.broadcast(limits(docs, labels, **parameters)), F.col("__s") == F.col("__stratum"), "left")
+    failed = base_failed(F.col("__m"))
+    kept = ~failed & ~F.coalesce(F.col("__m.level") >= F.col("__cutoff"), F.lit(False))
+    return joined.select("doc_id", *[F.col(f"__m.{k}").alias(k) for k in MEASURES[:-1]], failed.alias("base_failed"), kept.alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    return flag(docs, labels, **parameters).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the rules keep, with all their columns.
+
+    A document's verdict is one number, its level or one above all levels, made below the join: a condition on
+    the measures themselves would be pushed down and make them twice.
+    """
+    verdict = let(measures(F.col("text")), lambda m: F.when(base_failed(m), F.lit(LEVELS + 2)).otherwise(m["level"]))
+    m = rows_with(docs, verdict=verdict, own=stratum(F.col("lang"), parameters.get("strata", STRATA)))
+    joined = m.join(F.broadcast(limits(docs, labels, **parameters)), F.col("own") == F.col("__stratum"), "left")
+    return rows_of(joined.where(F.col("verdict") < F.coalesce("__cutoff", F.lit(LEVELS + 1))), docs)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
