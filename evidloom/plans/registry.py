@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> callable) and ORACLES (name -> SQL).
-MODULES = ("evidloom.plans.text_queries", "evidloom.plans.graph_queries", "evidloom.plans.merge_queries")
+MODULES = ("evidloom.plans.text_queries", "evidloom.plans.graph_queries", "evidloom.plans.merge_queries", "evidloom.plans.stage2_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
