@@ -10,15 +10,15 @@ from evidloom.functions import values as X
 from evidloom.operators.validate import empty, errors, set_difference
 
 #: Scopes that a comprehensive lane holds all of, producers and prefixes that no agent may claim. Fixed values.
-COMPREHENSIVE = ("nodes", "edges", "events", "evidence", "supports")
-LEGACY, LEGACY_PREFIX = ("rule-engine", "template-matcher", "keyword-extractor"), ("script", "python", "rule")
+COMPREHENSIVE, COMPREHENSIVE_LANE = ("nodes", "edges", "events", "evidence", "supports_templates"), "comprehensive_extraction"
+LEGACY, LEGACY_TOKENS, LEGACY_PREFIXES = ("python", "legacy", "python-template-aware"), ("python-template-aware",), ("python", "legacy")
 PASSES = 3
 
 
 def lane_kinds(lanes: DataFrame) -> DataFrame:
     """Lanes (lane_id, scope: array) -> lane_id, comprehensive: by its name or because its scope holds all of COMPREHENSIVE."""
     whole = F.size(F.array_except(F.array(*[F.lit(x) for x in COMPREHENSIVE]), "scope")) == 0
-    return lanes.select("lane_id", ((F.col("lane_id") == "comprehensive") | F.coalesce(whole, F.lit(False))).alias("comprehensive"))
+    return lanes.select("lane_id", ((F.col("lane_id") == COMPREHENSIVE_LANE) | F.coalesce(whole, F.lit(False))).alias("comprehensive"))
 
 
 def requirement_packets(templates: DataFrame, group: str, per_batch: int) -> DataFrame:
@@ -46,10 +46,11 @@ def run_records(packets: DataFrame, status: str = "pending") -> DataFrame:
 
 def legacy_producer(value: Column) -> Column:
     """Whether a producer's name is one of those no agent may use: itself, as a token, or a 'producer' with a prefix as token."""
-    flat = F.translate(F.lower(value), "_", "-")
-    tokens = F.split(flat, r"[^a-z0-9\-]+")
+    flat = F.translate(F.lower(F.trim(value)), "_", "-")
+    tokens = F.regexp_extract_all(flat, F.lit("[a-z0-9]+(?:-[a-z0-9]+)*"), F.lit(0))
     parts = F.split(flat, r"[^a-z0-9]+")
-    return F.arrays_overlap(tokens, F.array(*[F.lit(x) for x in LEGACY])) | (F.array_contains(parts, "producer") & F.arrays_overlap(parts, F.array(*[F.lit(x) for x in LEGACY_PREFIX])))
+    some = lambda names: F.array(*[F.lit(x) for x in names])
+    return flat.isin(*LEGACY) | F.arrays_overlap(tokens, some(LEGACY_TOKENS)) | (F.array_contains(parts, "producer") & F.arrays_overlap(parts, some(LEGACY_PREFIXES)))
 
 
 def names_in_order(found: DataFrame, expected: DataFrame, group: str) -> DataFrame:

@@ -11,7 +11,7 @@ from evidloom.plans.text_queries import table
 def prj_03_lane_kinds(spark, sf_dir):
     k = F.col("c_custkey")
     scope = F.filter(F.array(*[F.when(k % (i + 2) != 0, F.lit(x)) for i, x in enumerate(L.COMPREHENSIVE)]), lambda x: x.isNotNull())
-    return L.lane_kinds(table(spark, sf_dir, "customer").select(F.when(k % 50 == 0, "comprehensive").otherwise(F.concat(F.lit("lane-"), k)).alias("lane_id"), F.when(k % 9 != 0, scope).alias("scope")))
+    return L.lane_kinds(table(spark, sf_dir, "customer").select(F.when(k % 50 == 0, L.COMPREHENSIVE_LANE).otherwise(F.concat(F.lit("lane-"), k)).alias("lane_id"), F.when(k % 9 != 0, scope).alias("scope")))
 
 
 def prj_04_requirement_packets(spark, sf_dir):
@@ -34,7 +34,7 @@ def prj_10_run_records(spark, sf_dir):
 def val_04_legacy_producers(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
-    name = F.when(k % 6 == 0, "Rule_Engine").when(k % 6 == 1, "my template-matcher v2").when(k % 6 == 2, "producer of python").when(k % 6 == 3, "pythonic producer").when(k % 6 == 4, "agent-7").otherwise(None)
+    name = F.when(k % 6 == 0, " Python ").when(k % 6 == 1, "my Python_template_aware v2").when(k % 6 == 2, "producer-of legacy").when(k % 6 == 3, "pythonic producer").when(k % 6 == 4, "agent-7").otherwise(None)
     return s.select("s_suppkey", L.legacy_producer(name).alias("legacy"))
 
 
@@ -136,7 +136,7 @@ def fn_22_canonical_errors(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (prj_03_lane_kinds, prj_04_requirement_packets, prj_05_refinement_passes, prj_10_run_records, val_04_legacy_producers, val_07_names_in_order, val_10_readiness_contract, val_16_packet_contract, val_15_missing_outputs, val_14_missing_roles, val_26_queue_errors, mrg_02_canonical_items, mrg_04_provenance, agg_11_phase_summary, jn_15_ledger_update, jn_08_remapped_keys, inc_03_reuse, inc_06_input_hash, fn_22_canonical_errors)}
 
 ORACLES = {
-    "prj_03_lane_kinds": "SELECT CASE WHEN c_custkey % 50 = 0 THEN 'comprehensive' ELSE 'lane-' || c_custkey END AS lane_id, c_custkey % 50 = 0 OR (c_custkey % 9 <> 0 AND c_custkey % 2 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 6 <> 0) AS comprehensive FROM customer",
+    "prj_03_lane_kinds": "SELECT CASE WHEN c_custkey % 50 = 0 THEN 'comprehensive_extraction' ELSE 'lane-' || c_custkey END AS lane_id, c_custkey % 50 = 0 OR (c_custkey % 9 <> 0 AND c_custkey % 2 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 6 <> 0) AS comprehensive FROM customer",
     "prj_04_requirement_packets": """WITH b AS (SELECT p_partkey % 40 AS s, p_partkey AS k, (row_number() OVER (PARTITION BY p_partkey % 40 ORDER BY p_partkey) - 1) // 4 + 1 AS b FROM part)
 SELECT s AS source_id, printf('batch-%04d', b) AS batch_id, count(*)::BIGINT AS n, string_agg('t' || k, ',' ORDER BY k) AS templates FROM b GROUP BY s, b""",
     "prj_05_refinement_passes": "SELECT doc_id AS source_id, p::BIGINT AS pass, CASE WHEN p = 1 THEN 'raw/' || doc_id ELSE printf('refinement/%d/pass-%d.json', doc_id, p - 1) END AS reads, printf('refinement/%d/pass-%d.json', doc_id, p) AS writes FROM documents, range(1, 4) AS r(p)",
