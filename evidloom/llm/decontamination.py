@@ -27,12 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import ASCII_LOWER, ASCII_UPPER, let, read, rows_of, rows_with, stored, words_of
+from evidloom.llm.common import ASCII_LOWER, ASCII_UPPER, BROADCAST_ROWS, let, read, rows_of, rows_with, small_side, stored, words_of
 
 SHINGLE = 5
 PUNCTUATION = ".,;:!?\"'()"
-#: Rows of a table that may be broadcast: some 30 MB of ids and hashes.
-BROADCAST_ROWS = 500_000
 #: Shingles of items that may be broadcast as strings.
 BROADCAST_SHINGLES = 200_000
 
@@ -65,18 +63,13 @@ def sketches(items: DataFrame) -> DataFrame:
     return sized.select("item_id", "item_key", F.explode(F.slice("a", F.lit(1), k)).alias("h"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """df as the side of a join: broadcast if it has been counted to be small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, doc_key, item_id, item_key) of pairs that share a sketch value; doc_key is a hash of the text."""
     sketch = stored(sketches(items), "sketches")
     most = sketch.agg(F.max("h").alias("h")).first()["h"]
     probes = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), hashes_of(F.col("text")).alias("a"))
     probes = probes.select("doc_id", "doc_key", F.explode(F.filter("a", lambda h: h <= F.lit(most).cast("long"))).alias("p"))
-    found = probes.join(_small(sketch, BROADCAST_ROWS), F.col("p") == F.col("h"))
+    found = probes.join(small_side(sketch), F.col("p") == F.col("h"))
     return found.select("doc_id", "doc_key", "item_id", "item_key").distinct()
 
 
@@ -107,7 +100,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that contain no item, with all their columns."""
     bad = stored(_matches(docs, items).select("doc_id", "doc_key").distinct(), "contaminated")
     own = rows_with(docs, own_id=F.col("doc_id"), own_key=F.xxhash64("text"))
-    return rows_of(own.join(_small(bad, BROADCAST_ROWS), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("doc_key")), "left_anti"), docs)
+    return rows_of(own.join(small_side(bad), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("doc_key")), "left_anti"), docs)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,3 +277,15 @@ def test_pipeline_stages_do_their_work(spark, sf_dir):
     assert decontamination.matches(clean, items).count() == 0 and clean.count() < docs_.count()
     assert {r[0] for r in after["packing"][1].select("doc_id").collect()} == {r[0] for r in clean.select("doc_id").collect()}
     assert Counter(tuple(r) for r in c.run(spark, sf_dir).select("doc_id", "start", "length", "ids_crc32").collect()) == Counter(tuple(r) for r in after["packing"][1].select("doc_id", "start", "length", "ids_crc32").collect())
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from evidloom.llm.common import fresh_path, scratch, stored
+
+    kept = fresh_path(spark, "kept")
+    with scratch(spark) as folder:
+        stored(spark.range(3), "a").write.parquet(kept)
+        assert Path(folder.removeprefix("file://")).is_dir()
+    assert not Path(folder.removeprefix("file://")).exists() and spark.read.parquet(kept).count() == 3
