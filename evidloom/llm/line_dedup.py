@@ -15,6 +15,9 @@ text. Lines of fewer than `min_words` words stay and remove nothing.
 4. Check: a line's words are compared with those of the lines found before it.
 5. The places of removed lines are joined to the documents.
 
+Texts meet the places of lines twice. At 3, where the lines that are left have been counted to be few enough to
+broadcast, texts stay where they are; else, and at 5, they are shuffled by document.
+
 Hashes before and after a place are kept as prefix and suffix sums (XOR of word hashes with their places), in blocks of 64
 words, so a line of W words costs about 64 W steps.
 
@@ -29,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import SPACE_RE, let, read, stored
+from evidloom.llm.common import SPACE_RE, let, read, small_side, stored
 
 MIN_WORDS = 5
 BLOCK = 64
@@ -111,7 +114,7 @@ def _within_one(a: Column, b: Column) -> Column:
 
 
 def _text_side(docs: DataFrame) -> DataFrame:
-    """The side of the documents in both joins: alike, so that it is shuffled once for both."""
+    """The side of the documents in both joins."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("__id"), F.xxhash64("text").alias("__doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
 
 
@@ -130,8 +133,8 @@ def removed_lines(docs: DataFrame, text_side: DataFrame, min_words: int = MIN_WO
     shared = halves.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select(F.col("end").alias("__end"))
     halves = halves.join(shared, F.col("end") == F.col("__end")).groupBy("a", "b").agg(F.max(F.col("which") % 2 == 0).alias("by_first"), F.max(F.col("which") % 2 == 1).alias("by_last"))
     live = firsts.select("a", "b", "__id", "__no", "__doc").join(halves, ["a", "b"])
-    wanted = live.groupBy("__id", "__doc").agg(F.collect_list(F.struct("__no", "a", "by_first", "by_last")).alias("its"))
-    found = text_side.join(wanted, ["__id", "__doc"]).select("__id", "__doc", F.split("__row.text", "\n").alias("raw"), F.explode("its").alias("it"))
+    wanted = stored(live.groupBy("__id", "__doc").agg(F.collect_list(F.struct("__no", "a", "by_first", "by_last")).alias("its")), "wanted")
+    found = text_side.join(small_side(wanted, weight=F.size("its")), ["__id", "__doc"]).select("__id", "__doc", F.split("__row.text", "\n").alias("raw"), F.explode("its").alias("it"))
     found = found.select("__id", "__doc", "it.*", F.split(_normal(F.get("raw", F.col("it.__no"))), " ").alias("w")).dropDuplicates(["a"])
     live = stored(found, "live-lines")
 
