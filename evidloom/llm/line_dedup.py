@@ -124,27 +124,29 @@ def removed_lines(docs: DataFrame, text_side: DataFrame, min_words: int = MIN_WO
     lines = _lines(docs).withColumn("n", n).where(F.col("n") >= min_words)
     lines = stored(lines.select("__id", "__doc", "__no", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"), _ends(F.col("line"), F.col("n")).alias("ends")), "lines")
     place = F.struct(F.col("__id").alias("id"), F.col("__no").alias("no"))
-    firsts = stored(lines.groupBy("a", "b").agg(F.min(F.struct("__id", "__no", "__doc", "ends")).alias("f")).select("a", "b", "f.*"), "firsts")
+    firsts = stored(lines.groupBy("a", "b").agg(F.min(F.struct("__id", "__no", "__doc", "ends")).alias("f"), F.count("*").alias("times")).select("a", "b", "times", "f.*"), "firsts")
 
-    again = firsts.select(F.col("a").alias("fa"), F.col("b").alias("fb"), place.alias("first"))
+    again = small_side(firsts.where("times > 1").select(F.col("a").alias("fa"), F.col("b").alias("fb"), place.alias("first")))
     equal = lines.join(again, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb"))).where(place > F.col("first")).select("__id", "__doc", "__no")
 
-    halves = firsts.select("a", "b", F.posexplode("ends").alias("which", "end"))
+    # From here on a line is known by the first of its hashes: where two lines should share it, both are kept in the search.
+    halves = firsts.select("a", F.posexplode("ends").alias("which", "end"))
     shared = halves.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select(F.col("end").alias("__end"))
-    halves = halves.join(shared, F.col("end") == F.col("__end")).groupBy("a", "b").agg(F.max(F.col("which") % 2 == 0).alias("by_first"), F.max(F.col("which") % 2 == 1).alias("by_last"))
-    live = firsts.select("a", "b", "__id", "__no", "__doc").join(halves, ["a", "b"])
+    halves = halves.join(shared, F.col("end") == F.col("__end")).groupBy("a").agg(F.max(F.col("which") % 2 == 0).alias("by_first"), F.max(F.col("which") % 2 == 1).alias("by_last"))
+    live = firsts.select("a", "__id", "__no", "__doc").join(halves, ["a"])
     wanted = stored(live.groupBy("__id", "__doc").agg(F.collect_list(F.struct("__no", "a", "by_first", "by_last")).alias("its")), "wanted")
     found = text_side.join(small_side(wanted, weight=F.size("its")), ["__id", "__doc"]).select("__id", "__doc", F.split("__row.text", "\n").alias("raw"), F.explode("its").alias("it"))
-    found = found.select("__id", "__doc", "it.*", F.split(_normal(F.get("raw", F.col("it.__no"))), " ").alias("w")).dropDuplicates(["a"])
+    found = found.select("__id", "__doc", "it.*", F.split(_normal(F.get("raw", F.col("it.__no"))), " ").alias("w")).dropDuplicates(["a", "__id", "__no", "__doc"])
     live = stored(found, "live-lines")
 
     size = F.size("w")
     shared_words = F.least(_half(size), _half(size - 1))
     keys = _neighbourhood(F.col("w"), F.when(F.col("by_first"), shared_words), F.when(F.col("by_last"), shared_words))
-    emitted = live.select("a", F.struct(F.col("__id").alias("id"), F.col("__no").alias("no"), "a").alias("p"), F.explode(F.array_distinct(keys)).alias("key"))
+    # A line's keys are made once; in a columnar table its place costs next to nothing beside each.
+    emitted = stored(live.select(F.struct(F.col("__id").alias("id"), F.col("__no").alias("no"), "a").alias("p"), F.explode(F.array_distinct(keys)).alias("key")), "keys")
     least = emitted.groupBy("key").agg(F.min("p").alias("m"), F.count("*").alias("k")).where("k > 1").select(F.col("key").alias("__key"), "m")
     earlier = F.struct("p.id", "p.no") > F.struct("m.id", "m.no")
-    pairs = emitted.join(least, F.col("key") == F.col("__key")).where(earlier).select("a", F.col("m.a").alias("o")).distinct()
+    pairs = emitted.join(least, F.col("key") == F.col("__key")).where(earlier).select("p.a", F.col("m.a").alias("o")).distinct()
     other = live.select(F.col("a").alias("o"), F.col("w").alias("v"))
     near = pairs.join(live, "a").join(other, "o").where(_within_one(F.col("w"), F.col("v"))).select("__id", "__doc", "__no")
     return equal.unionByName(near).distinct()
