@@ -50,6 +50,12 @@ MARKS = frozenset(
     "responses search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget widgets alert complementary contentinfo".split()
 )
 FREE = frozenset("html body main article".split())
+#: Parts of a class that only says what a layout has: content-with-sidebar.
+ABOUT = frozenset("has with no without non".split())
+#: Boilerplate where marks and forms hold a whole page.
+SURE = frozenset("nav footer aside menu".split())
+#: Words that make such a page worth a second reading.
+LOOSE_WORDS = 50
 
 _TAG = re.compile(r"""</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*+>""")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -66,15 +72,17 @@ def marked(name: str, tag: str) -> bool:
     for m in _ATTRIBUTE.finditer(tag, len(name) + 1):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
-            if not MARKS.isdisjoint(_PARTS.findall(value)):
-                return True
+            for one in value.split():
+                parts = _PARTS.findall(one)
+                if not MARKS.isdisjoint(parts) and ABOUT.isdisjoint(parts):
+                    return True
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             return True
     return False
 
 
-def runs(page: str) -> list[tuple[str, object, str | None]]:
-    """A page as ('tag', name, None) and ('text', context, text). A context: (boilerplate, in article, in link, block)."""
+def runs(page: str, loose: bool = False) -> list[tuple[str, object, str | None]]:
+    """A page as ('tag', name, None) and ('text', context, text). A context: (boilerplate, in article, in link, block). loose: only SURE elements are boilerplate."""
     out: list[tuple[str, object, str | None]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, and the state before it: boilerplate, in article, in link
     junk = article = link = False
@@ -135,7 +143,7 @@ def runs(page: str) -> list[tuple[str, object, str | None]]:
         if name in ("article", "main"):
             junk, article = False, True
         elif not (name == "header" and article):
-            junk = junk or marked(name, tag)
+            junk = junk or (name in SURE if loose else marked(name, tag))
         link = link or name == "a"
     return out
 
@@ -204,11 +212,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def extract(page: str | None, weights: dict[tuple, float]) -> str:
-    """The main text of a page: blocks joined by two line feeds."""
-    if not page:
-        return ""
-    items = runs(page)
+def _text(items: list, weights: dict[tuple, float]) -> str:
     # Boilerplate's words never enter the text: crossing them costs their tags alone.
     scores = [0.0 if key[0] == "word" and key[1] else words * weights.get(key, prior(key)) for key, words, _ in _keys(items)]
     start, end = best_region(scores)
@@ -231,6 +235,16 @@ def extract(page: str | None, weights: dict[tuple, float]) -> str:
     return "\n\n".join(blocks)
 
 
+def extract(page: str | None, weights: dict[tuple, float]) -> str:
+    """The main text of a page: blocks joined by two line feeds. Where marks leave nothing of a page of many words, they are set aside."""
+    if not page:
+        return ""
+    if text := _text(runs(page), weights):
+        return text
+    text = _text(runs(page, loose=True), weights)
+    return text if len(text.split()) >= LOOSE_WORDS else ""
+
+
 def learned(pages: DataFrame, label_pages: int = LABEL_PAGES) -> dict[tuple, float]:
     """Weights fitted on the sample of labelled pages of a table (html); see the module."""
     some = pages.where(F.lower("html").contains("<article")).select(F.substring("html", 1, LABEL_CHARS).alias("html"), F.xxhash64("html").alias("h")).orderBy("h").limit(label_pages)

@@ -161,7 +161,8 @@ def keep(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     A document's verdict is one number, its level or one above all levels, made below the join: a condition on
     the measures themselves would be pushed down and make them twice.
     """
-    verdict = let(measures(F.col("text")), lambda m: F.when(base_failed(m), F.lit(LEVELS + 2)).otherwise(m["level"]))
+    # coalesce: what can't be null isn't tested for null, which would make the measures again.
+    verdict = F.coalesce(let(measures(F.col("text")), lambda m: F.when(base_failed(m), F.lit(LEVELS + 2)).otherwise(m["level"])), F.lit(LEVELS + 2))
     m = rows_with(docs, verdict=verdict, own=stratum(F.col("lang"), parameters.get("strata", STRATA)))
     joined = m.join(F.broadcast(limits(docs, labels, **parameters)), F.col("own") == F.col("__stratum"), "left")
     return rows_of(joined.where(F.col("verdict") < F.coalesce("__cutoff", F.lit(LEVELS + 1))), docs)

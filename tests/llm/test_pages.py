@@ -77,6 +77,13 @@ def test_extraction_by_brute_force_on_the_table(spark, sf_dir):
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_extraction_of_marked_layouts():
+    words = "several plain words of an article that go on and on " * 8
+    for page in (f'<div class="content-with-sidebar"><p>{words}</p></div>', f'<form id="all"><p>{words}</p><nav><a>Home</a></nav></form>', f'<div id="page" class="no-comments"><p>{words}</p><div id="comments"><p>{words}</p></div></div>'):
+        assert html_extraction.extract(page, {}) == words.strip()
+    assert html_extraction.extract("<form>Your name here please</form><nav>Home</nav>", {}) == ""
+
+
 def test_best_region_is_the_best():
     r = random.Random(3)
     for _ in range(300):
