@@ -35,7 +35,7 @@ def first_hits(requirements: DataFrame, chunks: DataFrame, key: str = "source_id
     inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
     wanted = requirements.select("requirement_id", low.alias("low"), F.char_length("value").alias("size"), longest.alias("anchor")).where("low <> ''")
-    few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    few = wanted.count() <= MOST_BROADCAST
     side = F.broadcast if few else (lambda d: d)
     text = chunks.select(key, "chunk_no", "chunk_id", "start", F.lower("text").alias("t"))
     tokens = text.select("*", F.explode(F.array_distinct(F.split("t", r"\s+"))).alias("token"))
