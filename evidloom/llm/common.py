@@ -101,10 +101,9 @@ BROADCAST_ROWS = 500_000
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
-    """df as the side of a join: broadcast if it has been counted to have so few rows, shuffled otherwise. weight: what a row counts for, if it holds a list."""
-    if weight is None:
-        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-    return F.broadcast(df) if (df.agg(F.sum(weight).alias("n")).first()["n"] or 0) <= rows else df
+    """df as the side of a join: broadcast if it has been counted to have so few rows, shuffled otherwise. It is counted for this, so it should be a stored table. weight: what a row counts for, if it holds a list."""
+    n = df.count() if weight is None else df.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if n <= rows else df
 
 
 def _delete(spark: SparkSession, folder: str) -> None:

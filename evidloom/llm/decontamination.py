@@ -77,7 +77,7 @@ def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, doc_key, item_id, n_shared, n_item) of documents with an item contained."""
     cands = stored(candidates(docs, items), "candidates")
     by_doc = cands.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("item_id", "item_key")).alias("its")).withColumnsRenamed({"doc_id": "c_id", "doc_key": "c_key"})
-    side = F.broadcast(by_doc) if cands.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else by_doc
+    side = F.broadcast(by_doc) if cands.count() <= BROADCAST_ROWS else by_doc
     own = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), "text")
     hit = own.join(side, own["doc_id"].eqNullSafe(F.col("c_id")) & (F.col("doc_key") == F.col("c_key")))
     pairs = hit.select("doc_id", "doc_key", shingles_of(F.col("text")).alias("d"), "its").select("doc_id", "doc_key", "d", F.explode("its").alias("it"))
