@@ -168,8 +168,17 @@ def _walk(depth: int, context: str = "") -> str:
     return "WITH " + ", ".join(out)
 
 
+_RENDERED = f"""{_walk(2)}, tree AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2), budget(query_id, b) AS (VALUES ('q1', 300), ('q2', 100), ('q3', 2000), ('q4', 2000)),
+fe AS (SELECT least(source, target) AS lo, greatest(source, target) AS hi, arg_min(relation, ord) AS relation FROM edges GROUP BY ALL),
+lines AS (SELECT query_id, 0 AS a, CASE WHEN level = 0 THEN 0 ELSE 1 END AS b, -coalesce(degree, 0) AS c, v2.node AS d, '' AS e, 0 AS f, 'NODE ' || coalesce(label, v2.node) || ' [' || coalesce(node_type, '') || ']' AS line FROM v2 LEFT JOIN nodes ON v2.node = nodes.id LEFT JOIN deg ON deg.node = v2.node
+UNION ALL SELECT query_id, 1, 0, 0, u, v, ord, 'EDGE ' || u || ' --' || relation || '--> ' || v FROM tree JOIN fe ON least(u, v) = lo AND greatest(u, v) = hi),
+upto AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY query_id ORDER BY a, b, c, d, e, f, line ROWS UNBOUNDED PRECEDING) AS upto FROM lines),
+texts AS (SELECT query_id, string_agg(line, chr(10) ORDER BY a, upto.b, c, d, e, f, line) AS text FROM upto JOIN budget USING (query_id) WHERE upto - 1 <= {G.CHARS_PER_TOKEN} * budget.b GROUP BY query_id),
+n AS (SELECT query_id, count(*)::BIGINT AS nodes_found FROM v2 GROUP BY 1), m AS (SELECT query_id, count(*)::BIGINT AS edges_found FROM tree GROUP BY 1)
+SELECT query_id, nodes_found, coalesce(edges_found, 0)::BIGINT AS edges_found, coalesce(text, '') AS text FROM n LEFT JOIN m USING (query_id) LEFT JOIN texts USING (query_id)"""
 _MULTI = """e AS (SELECT 'c' || (o_custkey % 40) AS source, 'c' || (o_custkey % 31) AS target, 'r' || (o_orderkey % 7) AS relation, 'k' || (o_orderkey % 3) AS context, o_orderkey AS ord FROM orders), p AS (SELECT DISTINCT target AS u, source AS v FROM e)"""
 ORACLES = {
+    "gr_08_query_graph": _RENDERED,
     "fn_11_query_params": f"""WITH {_Q}, raw AS (SELECT * FROM qs JOIN (VALUES ('q1', 'bfs', 2, 300, 7), ('q2', 'dfs', 6, 100, NULL), ('q3', 'bfs', 3, 2000, NULL), ('q4', 'bfs', 1, 2000, NULL)) AS x(query_id, mode, depth, token_budget, result_limit) USING (query_id))
 SELECT query_id, question, mode, depth::BIGINT AS depth, token_budget::BIGINT AS token_budget, result_limit::BIGINT AS result_limit FROM raw""",
     "gr_01_adjacency": f"WITH {_EDGES} SELECT u, count(*)::BIGINT AS entries, count(DISTINCT v)::BIGINT AS neighbours, min(ord)::BIGINT AS first_ord FROM adj GROUP BY u",
