@@ -246,8 +246,12 @@ def extract(page: str | None, weights: dict[tuple, float]) -> str:
 
 
 def learned(pages: DataFrame, label_pages: int = LABEL_PAGES) -> dict[tuple, float]:
-    """Weights fitted on the sample of labelled pages of a table (html); see the module."""
-    some = pages.where(F.lower("html").contains("<article")).select(F.substring("html", 1, LABEL_CHARS).alias("html"), F.xxhash64("html").alias("h")).orderBy("h").limit(label_pages)
+    """Weights fitted on the sample of labelled pages of a table (html); see the module. First the least hashes are found, a few bytes a page; only their pages come to the driver."""
+    labelled = pages.where(F.lower("html").contains("<article")).select("html", F.xxhash64("html").alias("h"))
+    last = labelled.select("h").distinct().orderBy("h").limit(label_pages).agg(F.max("h").alias("h")).first()["h"]
+    if last is None:
+        return {}
+    some = labelled.where(F.col("h") <= last).groupBy("h").agg(F.first(F.substring("html", 1, LABEL_CHARS)).alias("html")).orderBy("h")
     return fit([r["html"] for r in some.collect()])
 
 
