@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, \t, \n, \v, \f and \r.
 SPACE_RE = r"[\x20\x09-\x0D]+"
+#: Tables whose rows are long texts.
+TEXTS = ("documents", "pages")
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table. Where its files make fewer partitions than there are cores, its rows are dealt out anew: a table so small costs little to shuffle, and its texts much to read through. Larger tables stay as they lie."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def let(value: Column, body) -> Column:
