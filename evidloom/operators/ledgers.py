@@ -116,11 +116,13 @@ def canonical_items(items: DataFrame, source: str) -> DataFrame:
 
 
 def provenance_union(rows: DataFrame) -> DataFrame:
-    """Rows (id, ord, chunk_ids, lane_paths) -> id with both lists united in order, each value once."""
-    listed = F.array_sort(F.collect_list(F.struct("ord", "chunk_ids", "lane_paths")))
-    both = rows.groupBy("id").agg(listed.alias("l"))
-    of = lambda c: F.array_distinct(F.flatten(F.transform("l", lambda x: x[c])))
-    return both.select("id", of("chunk_ids").alias("chunk_ids"), of("lane_paths").alias("lane_paths"))
+    """Rows (id, ord, chunk_ids, lane_paths) -> id with both lists united in order, each value once. Values are aggregated to their first place before they are gathered, so a hot id gathers its distinct values alone; a null list has none."""
+    tagged = lambda c: F.transform(c, lambda v, i: F.struct(F.lit(c).alias("list"), v.alias("value"), i.alias("place")))
+    both = F.flatten(F.array_compact(F.array(tagged("chunk_ids"), tagged("lane_paths"))))
+    each = rows.select("id", F.struct("ord", "chunk_ids", "lane_paths").alias("at"), F.explode_outer(both).alias("x"))
+    first = each.groupBy("id", F.col("x.list").alias("list"), F.col("x.value").alias("value")).agg(F.min(F.struct("at", "x.place")).alias("o"))
+    of = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == c, F.struct("o", "value")))), lambda x: x["value"]).alias(c)
+    return first.groupBy("id").agg(of("chunk_ids"), of("lane_paths"))
 
 
 def phase_summary(batches: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def mrg_02_canonical_items(spark, sf_dir):
 
 def mrg_04_provenance(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    rows = e.where("event_id % 20 < 3").select(F.col("user_id").alias("id"), F.col("event_id").alias("ord"), F.array(F.concat(F.lit("c"), F.col("event_id") % 7)).alias("chunk_ids"), F.array(F.col("event_type"), F.lit("all")).alias("lane_paths"))
+    rows = e.select(F.col("user_id").alias("id"), F.col("event_id").alias("ord"), F.array(F.concat(F.lit("c"), F.col("event_id") % 7)).alias("chunk_ids"), F.array(F.col("event_type"), F.lit("all")).alias("lane_paths"))
     return L.provenance_union(rows).select("id", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.array_join("lane_paths", ",").alias("lane_paths"))
 
 

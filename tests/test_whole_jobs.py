@@ -8,6 +8,7 @@ from tests.compare import connection, differences
 ORACLES, QUERIES = registry.oracle_sql(), registry.queries()
 #: Query -> the filter in its oracle's SQL that leaves rows out; without it the SQL is over the whole table.
 CUTS = {
+    "mrg_04_provenance": " WHERE event_id % 20 < 3",
     "prj_19_markdown": " WHERE l_orderkey % 10 = 0",
 }
 
@@ -15,3 +16,11 @@ CUTS = {
 @pytest.mark.parametrize("name", sorted(CUTS))
 def test_query_covers_the_whole_table(name, spark, sf_dir):
     assert differences(QUERIES[name](spark, sf_dir), connection(sf_dir), ORACLES[name].replace(CUTS[name], "")) == ([], [])
+
+
+def test_provenance_of_a_hot_id_nulls_and_ties(spark):
+    from evidloom.operators.ledgers import provenance_union
+
+    rows = [("hot", k, [f"c{k % 3}"], ["l", None]) for k in range(500)] + [("none", 1, [], None), ("tie", 1, ["b", "a"], ["z"]), ("tie", 1, ["a"], ["y", "z"]), (None, 2, None, ["q"])]
+    out = provenance_union(spark.createDataFrame(rows, "id string, ord int, chunk_ids array<string>, lane_paths array<string>"))
+    assert {r["id"]: (r["chunk_ids"], r["lane_paths"]) for r in out.collect()} == {"hot": (["c0", "c1", "c2"], ["l", None]), "none": ([], []), "tie": (["a", "b"], ["y", "z"]), None: ([], ["q"])}
