@@ -2,9 +2,9 @@
 
 A line is removed if an earlier one, in any document, is at a word edit distance of at most 1
 (one word replaced, inserted or deleted; equal lines included). Earlier: by doc_id, then by place in the
-text. Lines of fewer than `min_words` words stay and remove nothing.
+text. Lines of fewer than `min_words` words are removed for an earlier equal line alone; lines without a word stay.
 
-1. Equal lines: hashes are aggregated to the first place of each different line.
+1. Equal lines, short ones too: hashes are aggregated to the first place of each different line.
 2. Pigeonhole: of two lines within the bound, the first or the last half of the words agree. Lines whose halves
    (lengths rounded so that neighbouring sizes meet) occur in no other line leave the search; this
    loses no pair.
@@ -121,8 +121,8 @@ def _text_side(docs: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, text_side: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(__id, __doc, __no) of the lines to remove."""
     n = F.size(F.split("line", " "))
-    lines = _lines(docs).withColumn("n", n).where(F.col("n") >= min_words)
-    lines = stored(lines.select("__id", "__doc", "__no", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"), _ends(F.col("line"), F.col("n")).alias("ends")), "lines")
+    lines = _lines(docs).where("line <> ''").withColumn("n", n)
+    lines = stored(lines.select("__id", "__doc", "__no", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"), F.when(F.col("n") >= min_words, _ends(F.col("line"), F.col("n"))).alias("ends")), "lines")
     place = F.struct(F.col("__id").alias("id"), F.col("__no").alias("no"))
     firsts = stored(lines.groupBy("a", "b").agg(F.min(F.struct("__id", "__no", "__doc", "ends")).alias("f"), F.count("*").alias("times")).select("a", "b", "times", "f.*"), "firsts")
 
