@@ -18,10 +18,12 @@ HUB_FLOOR = 50
 EXACT, PREFIX, INNER, IN_SOURCE = 1000.0, 100.0, 1.0, 0.5
 SEEDS, GAP = 3, 0.2
 CHARS_PER_TOKEN = 3
+#: Optional parameters of a question: more terms, types of seeds, contexts of the edges shown.
+LISTS = ("include_terms", "target_node_types", "context_filter")
 
 
 def query_params(rows: DataFrame) -> DataFrame:
-    """Raw parameters (query_id, question, mode, depth, token_budget, result_limit as strings) -> normalised: bfs unless dfs, depth 1..6 (3 by default), budget 100 at least (2000), limit above 0 or null."""
+    """Raw parameters (query_id, question, mode, depth, token_budget, result_limit as strings) -> normalised: bfs unless dfs, depth 1..6 (3 by default), budget 100 at least (2000), limit above 0 or null; LISTS (string arrays, null or empty: none) stay where rows have them."""
     number = lambda c: F.expr(f"try_cast({c} AS bigint)")
     return rows.select(
         "query_id",
@@ -30,6 +32,7 @@ def query_params(rows: DataFrame) -> DataFrame:
         F.greatest(F.lit(1), F.least(F.lit(MAX_DEPTH), F.coalesce(number("depth"), F.lit(3)))).cast("long").alias("depth"),
         F.greatest(F.lit(100), F.coalesce(number("token_budget"), F.lit(2000))).cast("long").alias("token_budget"),
         F.when(number("result_limit") > 0, number("result_limit")).alias("result_limit"),
+        *[F.col(c) for c in LISTS if c in rows.columns],
     )
 
 
@@ -91,11 +94,11 @@ def seeds(scored: DataFrame, most: int = SEEDS, gap: float = GAP) -> DataFrame:
     return rank(near).where(F.col("place") <= most)
 
 
-def bfs(starts: DataFrame, edges: DataFrame, hubs: DataFrame, depth: int, context: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def bfs(starts: DataFrame, edges: DataFrame, hubs: DataFrame, depth: int, context: list[str] | None = None, limits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Starts (query_id, node), edges (source, target, ord, context), hubs (node) -> visited (query_id, node, level) and tree edges (query_id, u, v, ord), level by level.
 
     A hub that isn't a start is reached but not left. An edge is recorded for each entry from a node of a level to one not
-    visited before it, parallel ones repeated.
+    visited before it, parallel ones repeated. Limits (query_id, depth) stop a query before `depth`.
     """
     kept = edges if context is None else edges.where(F.col("context").isin(context))
     adj = adjacency(kept).select("u", "v", "ord")
@@ -103,6 +106,8 @@ def bfs(starts: DataFrame, edges: DataFrame, hubs: DataFrame, depth: int, contex
     visited, found = now, None
     for level in range(1, max(0, min(depth, MAX_DEPTH)) + 1):
         leaving = now.join(hubs.select(F.col("node").alias("h")), F.col("node") == F.col("h"), "left_anti") if level > 1 else now
+        if limits is not None:
+            leaving = leaving.join(F.broadcast(limits.where(F.col("depth") >= level).select(F.col("query_id").alias("lq"))), F.col("query_id") == F.col("lq"), "left_semi")
         steps = leaving.select("query_id", F.col("node").alias("u0")).join(adj, F.col("u0") == F.col("u")).select("query_id", "u", "v", "ord")
         seen = visited.select(F.col("query_id").alias("q"), F.col("node").alias("n"))
         new = cut(steps.join(seen, (F.col("query_id") == F.col("q")) & (F.col("v") == F.col("n")), "left_anti"))
@@ -113,38 +118,91 @@ def bfs(starts: DataFrame, edges: DataFrame, hubs: DataFrame, depth: int, contex
 
 
 def dfs(starts: DataFrame, edges: DataFrame, hubs: DataFrame, depth: int) -> DataFrame:
-    """Visited nodes (query_id, node, place) of a depth-first walk that takes the last neighbour first.
+    """Visited nodes (query_id, node, place) of a depth-first walk that takes the last neighbour first."""
+    return _stack_walk(starts, edges, hubs, depth).where("v IS NULL").select("query_id", F.col("u").alias("node"), "place")
+
+
+def _stack_walk(starts: DataFrame, edges: DataFrame, hubs: DataFrame, depth: int, limits: DataFrame | None = None) -> DataFrame:
+    """Rows (query_id, u, v, ord, place) of a depth-first walk: v null for a visited node, else an edge pushed, which may repeat or lead to no visited node.
 
     Its order is the order of a stack, so it is walked in Python, one task for a query, over the ball that bfs()
-    bounds: a node at distance `depth` is never taken, so the ball has radius depth - 1.
+    bounds: a node at distance `depth` is never taken, so the ball has radius depth - 1. Starts are taken by place, if they have one, then by id.
     """
-    near, _ = bfs(starts, edges, hubs, max(0, depth - 1))
-    adj = adjacency(edges).withColumn("ord", F.col("ord") * 2 + F.col("side"))
-    first = starts.groupBy("query_id").agg(F.array_sort(F.collect_set("node")).alias("starts"))
+    near, _ = bfs(starts, edges, hubs, max(0, depth - 1), limits=None if limits is None else limits.withColumn("depth", F.col("depth") - 1))
+    first = starts.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_set(F.struct(*[c for c in ("place",) if c in starts.columns], "node"))), lambda x: x["node"]).alias("starts"))
+    own = first if limits is None else first.join(F.broadcast(limits.select("query_id", "depth")), "query_id")
+    own = own.withColumn("most", F.least(F.lit(depth), F.col("depth") if limits is not None else F.lit(depth)).cast("long")).select(F.col("query_id").alias("q"), "starts", "most")
     ball = near.select("query_id", "node").distinct()
-    rows = ball.join(adj, F.col("node") == F.col("u"), "left").join(hubs.select(F.col("node").alias("h")), F.col("node") == F.col("h"), "left")
-    rows = rows.join(first.withColumnRenamed("query_id", "q"), F.col("query_id") == F.col("q")).select("query_id", "node", "v", "ord", F.col("h").isNotNull().alias("hub"), "starts")
+    rows = ball.join(adjacency(edges), F.col("node") == F.col("u"), "left").join(hubs.select(F.col("node").alias("h")), F.col("node") == F.col("h"), "left")
+    rows = rows.join(own, F.col("query_id") == F.col("q")).select("query_id", "node", "v", F.coalesce("ord", F.lit(0)).cast("long").alias("ord"), F.coalesce("side", F.lit(0)).alias("side"), F.col("h").isNotNull().alias("hub"), "starts", "most")
 
     def walk(pdf):
         import pandas as pd
 
-        roots = list(pdf["starts"].iloc[0])
+        roots, most = list(pdf["starts"].iloc[0]), int(pdf["most"].iloc[0])
         hub = set(pdf.loc[pdf["hub"], "node"])
         out: dict = {}
-        for u, v, _ in sorted(pdf.loc[pdf["v"].notna(), ["node", "v", "ord"]].itertuples(index=False, name=None), key=lambda x: x[2]):
-            out.setdefault(u, []).append(v)
-        stack, seen = [(n, 0) for n in reversed(roots)], {}
+        for u, v, o, _ in sorted(pdf.loc[pdf["v"].notna(), ["node", "v", "ord", "side"]].itertuples(index=False, name=None), key=lambda x: x[2:]):
+            out.setdefault(u, []).append((v, o))
+        stack, seen, pushed = [(n, 0) for n in reversed(roots)], {}, []
         while stack:
             node, d = stack.pop()
-            if node in seen or d >= depth:
+            if node in seen or d >= most:
                 continue
             seen[node] = len(seen)
             if node in hub and node not in roots:
                 continue
-            stack += [(v, d + 1) for v in out.get(node, []) if v not in seen]
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "node": list(seen), "place": list(seen.values())})
-
-    return rows.groupBy("query_id").applyInPandas(walk, f"query_id {starts.schema['query_id'].dataType.simpleString()}, node string, place bigint")
+            for v, o in out.get(node, []):
+                if v not in seen:
+                    stack.append((v, d + 1))
+                    pushed.append((node, v, o, 0))
+        rows = [(n, None, 0, place) for n, place in seen.items()] + pushed
+        return pd.DataFrame(rows, columns=["u", "v", "ord", "place"]).assign(query_id=pdf["query_id"].iloc[0])[["query_id", "u", "v", "ord", "place"]]
+
+    return rows.groupBy("query_id").applyInPandas(walk, f"query_id {starts.schema['query_id'].dataType.simpleString()}, u string, v string, ord bigint, place bigint")
+
+
+def question_terms(params: DataFrame) -> DataFrame:
+    """query_id, term: the terms of each question, and its include_terms, if any, whole or in words."""
+    each = params.select("query_id", F.explode(T.query_terms(F.col("question"))).alias("term"))
+    if "include_terms" in params.columns:
+        words = F.flatten(F.transform(F.array_compact("include_terms"), lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
+        each = each.unionByName(params.select("query_id", F.explode(words).alias("term")))
+    return each.distinct()
+
+
+def _wanted(params: DataFrame, name: str) -> DataFrame:
+    """query_id as wq, and its list; null for none."""
+    return F.broadcast(params.select(F.col("query_id").alias("wq"), F.when(F.size(name) > 0, F.col(name)).alias("list")))
+
+
+def queried(params: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Normalised parameters over nodes and edges -> rendered(): terms, seeds of the types asked for, each question's own walk and depth, edges of its contexts."""
+    params = cut(params)
+    terms = question_terms(params)
+    scored = score_nodes(terms, nodes, idf(terms, nodes))
+    if "target_node_types" in params.columns:
+        types = nodes.select(F.col("id").alias("ti"), "node_type").distinct()
+        typed = scored.join(types, F.col("id") == F.col("ti")).join(_wanted(params, "target_node_types"), F.col("query_id") == F.col("wq"))
+        scored = typed.where("list IS NULL OR array_contains(list, node_type)").select("query_id", "id", "label", "score").distinct()
+    degree = degrees(edges)
+    hubs = cut(degree.join(F.broadcast(hub_threshold(degree)), F.col("degree") >= F.col("threshold")).select("node"))
+    starts = cut(seeds(scored).select("query_id", F.col("id").alias("node"), "place"))
+    deepest = {r["mode"]: r["d"] for r in params.groupBy("mode").agg(F.max("depth").alias("d")).collect()}
+    of = lambda mode: params.where(F.col("mode") == mode).select("query_id", "depth")
+    asked = lambda mode: starts.join(F.broadcast(of(mode).select("query_id")), "query_id")
+    visited, tree = bfs(asked("bfs"), edges, hubs, deepest.get("bfs", 1), limits=of("bfs"))
+    if "dfs" in deepest:
+        walked = cut(_stack_walk(asked("dfs"), edges, hubs, deepest["dfs"], of("dfs")))
+        root = starts.select(F.col("query_id").alias("sq"), F.col("node").alias("sn"))
+        nodes_of = walked.where("v IS NULL").join(root, (F.col("query_id") == F.col("sq")) & (F.col("u") == F.col("sn")), "left")
+        visited = visited.unionByName(nodes_of.select("query_id", F.col("u").alias("node"), F.when(F.col("sn").isNull(), 1).otherwise(0).cast("long").alias("level")))
+        tree = tree.unionByName(walked.where("v IS NOT NULL").select("query_id", "u", "v", "ord"))
+    if "context_filter" in params.columns:
+        data = edge_data(tree.select("u", "v").distinct(), edges).select(F.col("u").alias("cu"), F.col("v").alias("cv"), "context")
+        named = tree.join(data, (F.col("u") == F.col("cu")) & (F.col("v") == F.col("cv"))).join(_wanted(params, "context_filter"), F.col("query_id") == F.col("wq"))
+        tree = named.where("list IS NULL OR array_contains(list, context)").select("query_id", "u", "v", "ord")
+    return rendered(visited, tree, nodes, edges, degree, params)
 
 
 def edge_data(pairs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.functions import text as T
 from evidloom.operators import chunks as C
 from evidloom.operators import evidence as E
 from evidloom.operators import graph as G
@@ -55,18 +54,11 @@ class EvidenceGraph:
             found = found.unionByName(V.dangling(refs(d, c), known, scope, "dangling_evidence"))
         return found.unionByName(V.dangling(edge_ends, ends, "edge", "dangling_end"))
 
-    def query(self, params: DataFrame, depth: int = 3) -> DataFrame:
+    def query(self, params: DataFrame) -> DataFrame:
         """Raw parameters, see graph.query_params -> query_id, nodes_found, edges_found, text. Questions without a searchable term or a match give no row."""
-        p = cut(G.query_params(params))
+        p = G.query_params(params)
         nodes = self.nodes.select(F.col("node_id").alias("id"), "label", "node_type", F.lit(None).cast("string").alias("source_file")).distinct()
         events = self.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("label"), F.lit("event").alias("node_type"), F.lit(None).cast("string").alias("source_file")).distinct()
         nodes = nodes.unionByName(events)
         edges = self.edges.select("source", "target", F.lit("supports").alias("relation"), F.lit("evidence").alias("context"), F.xxhash64("edge_id").alias("ord")).distinct()
-        terms = p.select("query_id", F.explode(T.query_terms(F.col("question"))).alias("term"))
-        seeds = G.seeds(G.score_nodes(terms, nodes, G.idf(terms, nodes)))
-        degree = G.degrees(edges)
-        hubs = degree.join(F.broadcast(G.hub_threshold(degree)), F.col("degree") >= F.col("threshold")).select("node")
-        visited, tree = G.bfs(seeds.select("query_id", F.col("id").alias("node")), edges, hubs, depth)
-        own = p.select(F.col("query_id").alias("pq"), "depth")
-        visited = visited.join(F.broadcast(own), F.col("query_id") == F.col("pq")).where(F.col("level") <= F.col("depth")).drop("pq", "depth")
-        return G.rendered(visited, tree, nodes, edges, degree, p)
+        return G.queried(p, nodes, edges)

@@ -133,10 +133,8 @@ def jn_06_first_edge(spark, sf_dir):
 
 
 def gr_08_query_graph(spark, sf_dir):
-    """Whole queries: terms, scores, seeds, walk, text (GR-07, GR-08, TOP-06)."""
-    e, n, p = edges(spark, sf_dir), nodes(spark, sf_dir), G.query_params(_params(spark))
-    visited, tree = G.bfs(_starts(spark, sf_dir), e, _hubs(spark, sf_dir), 2)
-    return G.rendered(visited, tree, n, e, G.degrees(e), p)
+    """Whole queries: terms, scores, seeds, each question's own walk and depth, text (GR-07, GR-08, TOP-06)."""
+    return G.queried(G.query_params(_params(spark)), nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (fn_11_query_params, gr_01_adjacency, agg_03_degrees, gr_02_hub_threshold, agg_01_idf, gr_03_scores, top_02_seeds, gr_04_bfs, gr_04_bfs_edges, gr_06_bfs_in_context, gr_05_dfs, jn_05_last_edge, jn_06_first_edge, gr_08_query_graph)}

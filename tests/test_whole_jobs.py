@@ -48,3 +48,15 @@ def test_line_dedup_of_the_table_by_brute_force(spark, sf_dir):
             seen.add(w)
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.mark(docs).collect()}
     assert sum(equal.values()) > 0 and all(got[k] >= n for k, n in equal.items())
+
+
+def test_questions_walk_by_their_own_mode_and_depth(spark):
+    from evidloom.operators import graph as G
+
+    nodes = spark.createDataFrame([(f"n{i}", "start" if i == 0 else f"x{i}", "a" if i else "b", None) for i in range(8)], "id string, label string, node_type string, source_file string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "r", "even" if i % 2 == 0 else "odd", i) for i in range(7)], "source string, target string, relation string, context string, ord bigint")
+    kind = "query_id string, question string, mode string, depth string, token_budget string, result_limit string, include_terms array<string>, target_node_types array<string>, context_filter array<string>"
+    asked = [("six", "start", "bfs", "6"), ("one", "start", "bfs", "1"), ("dfs", "start", "dfs", "6"), ("dfs2", "start", "dfs", "2")]
+    rows = [(*q, None, None, None, None, None) for q in asked] + [("more", "zz", "bfs", "1", None, None, ["X7"], None, None), ("type", "start x3", "bfs", "1", None, None, None, ["a"], None), ("odd", "start", "bfs", "4", None, None, None, None, ["odd"])]
+    out = {r["query_id"]: (r["nodes_found"], r["edges_found"], r["text"].count("EDGE ")) for r in G.queried(G.query_params(spark.createDataFrame(rows, kind)), nodes, edges).collect()}
+    assert out == {"six": (7, 6, 6), "one": (2, 1, 1), "dfs": (6, 6, 5), "dfs2": (2, 2, 1), "more": (2, 1, 1), "type": (3, 2, 2), "odd": (5, 2, 2)}
