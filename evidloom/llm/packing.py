@@ -7,10 +7,11 @@
    the most room, a new pack where none fits; equal packs are one pattern with a count. This makes at
    most two patterns a length, and a pattern has at most 90 different lengths (1 + 2 + ... + 91 > 4096), which bounds the plan.
 3. The plan goes to the tasks; a piece finds its place by the rank among pieces of its length. Ranks are counted within
-   `SALTS` shares of a length, so a length of a third of all documents is no single task's.
+   shares of a length, of some `SHARE_ROWS` pieces or 1 in `SHARES` of all pieces, whichever is more: a length of a third
+   of all documents is no single task's, and at most SHARES + `capacity` counts come to the driver, whatever the input.
 
 Defined results: a null or empty text is the end id alone; repeated documents are packed each; texts are read whole; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from evidloom.llm.common import per_worker, read, stored
 CAPACITY = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
-SALTS = 128
+SHARE_ROWS, SHARES = 500, 20_000
 #: Words kept by a worker: some 300 MB.
 MOST_WORDS = 1_200_000
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -32,8 +33,9 @@ PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_token
 class Encoder:
     """Texts to little-endian 32-bit ids, word by word through a table.
 
-    A word of Latin letters, also before one of TAILS, is one pretoken: its ids are those of its lower-case form, and
-    just the last of these ends a word. Such forms are encoded many at a time and cut behind the ends.
+    A word whose lower-case form is of Latin letters alone, also before one of TAILS, is one pretoken: its ids are those
+    of that form, and just the last of these ends a word. Such forms are encoded many at a time and cut behind the ends.
+    A word whose lower case brings in a mark (a dotted capital I) is encoded as it stands.
     """
 
     #: A separator the tokenizer knows as a token of its own.
@@ -79,8 +81,9 @@ class Encoder:
         simple, plain = [], []
         for w in words:
             head, tail = (w[:-1], w[-1]) if w[-1] in self.tails and len(w) > 1 else (w, "")
-            if head.isalpha() and max(head) <= self.LAST_LATIN:
-                simple.append((w, head.lower(), tail))
+            form = head.lower()
+            if head.isalpha() and form.isalpha() and max(head + form) <= self.LAST_LATIN:
+                simple.append((w, form, tail))
             elif "<|" in w:
                 self.table[w] = self._bytes(w)
             else:
@@ -115,8 +118,8 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
-def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, start, length, ids_crc32, doc_tokens, salt."""
+def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """docs (doc_id, text) -> PIECE and seen, a running number that starts elsewhere in each task."""
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
 
     def cut(batches):
@@ -124,9 +127,10 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAP
 
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
         encoder = per_worker(f"encoder {zlib.crc32(spec.value.encode())}", lambda: Encoder(spec.value))
-        seen, end = 0, np.array([END], dtype="<u4").tobytes()
+        seen, end = TaskContext.get().partitionId() * 1_000_003, np.array([END], dtype="<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
@@ -136,12 +140,12 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAP
                     data += end
                     for start in range(0, len(data), 4 * capacity):
                         part = data[start : start + 4 * capacity]
-                        out.append((doc, start // 4, len(part) // 4, zlib.crc32(part), len(data) // 4, seen % salts))
+                        out.append((doc, start // 4, len(part) // 4, zlib.crc32(part), len(data) // 4, seen))
                         seen += 1
                 columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "seen"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE + ", salt bigint")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE + ", seen bigint")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
@@ -184,27 +188,28 @@ def places(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[int, list[
     return out
 
 
-def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, share_rows: int = SHARE_ROWS, shares: int = SHARES) -> DataFrame:
     """docs (doc_id, text) -> a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     import numpy as np
 
-    cut = stored(pieces(docs, tokenizer=tokenizer, capacity=capacity, salts=salts), "pieces")
-    counts = cut.groupBy("length", "salt").agg(F.count("*").alias("n")).orderBy("length", "salt").toPandas()
-    length, salt, n = (counts[c].to_numpy(dtype=np.int64) for c in ("length", "salt", "n"))
-    before = np.cumsum(n) - n
-    lengths, first = np.unique(length, return_index=True)
-    before -= np.repeat(before[first], np.diff(np.append(first, len(length)))) if len(length) else 0
-    found = places(plan({int(a): int(b) for a, b in zip(lengths, np.add.reduceat(n, first) if len(n) else [], strict=True)}, capacity))
-    shared = cut.sparkSession.sparkContext.broadcast(
-        ({(int(a), int(b)): int(c) for a, b, c in zip(length, salt, before, strict=True)}, {k: np.array(v, dtype=np.int64) for k, v in found.items()})
-    )
+    spark = docs.sparkSession
+    cut = stored(pieces(docs, tokenizer=tokenizer, capacity=capacity), "pieces")
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    each = max(share_rows, -(-sum(histogram.values()) // shares))
+    dealt = spark.createDataFrame([(k, -(-n // each)) for k, n in histogram.items()], "__length bigint, __shares bigint")
+    cut = cut.join(F.broadcast(dealt), F.col("length") == F.col("__length")).withColumn("share", F.col("seen") % F.col("__shares")).drop("seen", "__length", "__shares")
+    before, given = {}, dict.fromkeys(histogram, 0)
+    for r in cut.groupBy("length", "share").agg(F.count("*").alias("n")).orderBy("length", "share").collect():
+        before[r["length"], r["share"]] = given[r["length"]]
+        given[r["length"]] += r["n"]
+    shared = spark.sparkContext.broadcast((before, {k: np.array(v, dtype=np.int64) for k, v in places(plan(histogram, capacity)).items()}))
 
     def placed(batches):
         import pyarrow as pa
 
         offsets, table = shared.value
         for b in batches:
-            size, share, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "salt", "rank"))
+            size, share, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "share", "rank"))
             sequence, offset = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64)
             ends = [0, *(np.flatnonzero((np.diff(size) != 0) | (np.diff(share) != 0)) + 1).tolist(), len(size)]
             for i, j in zip(ends, ends[1:], strict=False):
@@ -219,7 +224,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPAC
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    order = Window.partitionBy("length", "share").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     return cut.withColumn("rank", F.row_number().over(order).cast("long")).mapInArrow(placed, PIECE + ", sequence_id bigint, offset bigint")
 
 

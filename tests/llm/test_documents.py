@@ -197,14 +197,16 @@ def test_decontamination_by_brute_force_and_edges(spark):
     assert decontamination.clean(d, items.limit(0)).count() == len(rows)
 
 
-def test_packing_is_whole_and_tight(spark):
+@pytest.mark.parametrize("limits", [{}, {"share_rows": 1, "shares": 40}])
+def test_packing_is_whole_and_tight(spark, limits):
     import numpy as np
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     odd = ["It's a  café́ Ångström! 中文 12345 it'll...", "a<|endoftext|>b", "x\x1cy z", "İstanbul ΣΣ ßen", " nb sp　"]
-    rows = [*EDGES, *[(500 + i, t) for i, t in enumerate(odd)], *[(600 + i, prose(i, 20 + 37 * i)) for i in range(60)]]
-    got = packing.pack(docs(spark, rows)).collect()
+    rows = [*EDGES, *[(500 + i, t) for i, t in enumerate(odd)], *[(600 + i, prose(i, 20 + 37 * i)) for i in range(60)], *[(700, prose(3))] * 30]
+    clash = docs(spark, rows).selectExpr("doc_id", "text", "1 AS seen", "'x' AS share", "0 AS length", "0 AS rank", "0 AS start", "n_chars AS __length")
+    got = packing.pack(clash, **limits).collect()
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     texts = Counter((i, x) for i, x in ((r["doc_id"], r["text"]) for r in docs(spark, rows).collect()))
     want = Counter()
@@ -243,6 +245,24 @@ def test_packing_plan_places_all():
     assert 1 - used / (4096 * sum(c for _, c in patterns)) < 0.03
 
 
+def test_encoder_equals_encoding_whole_texts():
+    import random
+
+    import numpy as np
+
+    e = packing.Encoder(packing.tokenizer_json(), most_words=5000)
+    whole = lambda t: np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    r = random.Random(9)
+    letters = "aAbZéÉİıſßẞÞñÑŒœĲŉǅǆȺⱥΣςﬁK'’-_&@#0١٣²½.,;:!?\u0301\u0307\u200d\u00a0\u0085\u2028\x1c\x1f\t\n中あ한😀<|endoftext|>"
+    texts = ["İ;", "İİ", "xİ.", "İ\u0307!", "Aİa?", "ſ:", "ǅ,"] + ["".join(r.choice(letters) if r.random() < 0.5 else r.choice("abcdeABC İ.;") for _ in range(r.randint(1, 24))) for _ in range(20_000)]
+    texts += ["".join(chr(r.choice([r.randrange(32, 0x250), r.randrange(0x250, 0x3000), r.randrange(0x1F000, 0x1FFFF)])) for _ in range(12)) for _ in range(10_000)]
+    texts += [f"{chr(c)}{t}" for c in range(33, 0x250) for t in ("", *e.TAILS)] + [f"a{chr(c)}b{t}" for c in range(33, 0x250) for t in ("", ";")]
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        for t, got in zip(some, e.encode(some), strict=True):
+            assert got == whole(t), t
+
+
 def test_encoder_keeps_its_bound():
     e = packing.Encoder(packing.tokenizer_json(), most_words=50)
     plain = packing.Encoder(packing.tokenizer_json())
