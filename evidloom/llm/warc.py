@@ -5,9 +5,10 @@ one with the largest page_id becomes a response record, the others revisit it. E
 gzip member each, to files in the shared folder: under a name of its own first, then moved, so an attempt that is
 lost leaves nothing half-written and one that is repeated replaces it.
 
-Reading. A task gets byte ranges. It scans its range for gzip's magic number, accepts a place only if a member decodes there to
-the header of a WARC record, and from then on goes from member to member; it owns the records that start
-inside its range, wherever they end. Ranges need no index and may be cut anywhere.
+Reading. Byte ranges are dealt out, a task for each (for several beyond `MOST_TASKS`). A task scans its range for gzip's magic
+number, accepts a place only if a member decodes there to the header of a WARC record, one that ends within HEADER_BYTES,
+and from then on goes from member to member; it owns the records that start inside its range, wherever they end. Ranges
+need no index and may be cut anywhere.
 
 Files are reached through pyarrow's file systems, so the shared folder may be file:, hdfs:, s3: or gs:.
 
@@ -28,8 +29,10 @@ MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 1 << 30
 RANGE_BYTES = 16 << 20
 CHUNK = 1 << 16
-#: A record header longer than this isn't accepted.
+#: A record whose header is longer than this isn't accepted.
 HEADER_BYTES = 1 << 20
+#: Partitions of ranges at most: more make a driver slow. Their ranges are read one after another.
+MOST_TASKS = 200_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
@@ -85,19 +88,18 @@ def write(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Data
                 done.append((f"{folder}/{name}", size))
                 out, size, part = None, 0, part + 1
 
-        for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if out is None:
-                    if not part:
-                        system.create_dir(base, recursive=True)
-                    name = f"part-{task.partitionId():05d}-{part:04d}.warc.gz"
-                    own = f".{name}.{task.taskAttemptId()}"
-                    out = system.open_output_stream(f"{base}/{own}", compression=None)
-                member = gzip.compress(record(*row), compresslevel=6, mtime=0)
-                out.write(member)
-                size += len(member)
-                if size >= file_bytes:
-                    close()
+        for row in (row for whole in batches for at in range(0, whole.num_rows, 256) for row in zip(*[c.to_pylist() for c in whole.slice(at, 256).columns], strict=True)):
+            if out is None:
+                if not part:
+                    system.create_dir(base, recursive=True)
+                name = f"part-{task.partitionId():05d}-{part:04d}.warc.gz"
+                own = f".{name}.{task.taskAttemptId()}"
+                out = system.open_output_stream(f"{base}/{own}", compression=None)
+            member = gzip.compress(record(*row), compresslevel=6, mtime=0)
+            out.write(member)
+            size += len(member)
+            if size >= file_bytes:
+                close()
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["path", "size"])
 
@@ -124,7 +126,7 @@ def member_at(read_at, at: int) -> tuple[bytes, int] | None:
     """(text, end) of the gzip member at an offset, or None if what is there doesn't decode to a WARC record's start."""
     import zlib
 
-    stream, out, size, here = zlib.decompressobj(31), [], 0, at
+    stream, out, size, here, headed = zlib.decompressobj(31), [], 0, at, False
     try:
         while not stream.eof:
             chunk = read_at(here, CHUNK)
@@ -132,11 +134,12 @@ def member_at(read_at, at: int) -> tuple[bytes, int] | None:
                 return None
             out.append(stream.decompress(chunk))
             here += len(chunk)
-            if size < 7 <= size + len(out[-1]) or stream.eof:
+            size += len(out[-1])
+            if not headed and (size >= 7 or stream.eof):
                 head = b"".join(out)
-                if not head.startswith(b"WARC/1."):
+                headed = 0 <= head.find(b"\r\n\r\n") < HEADER_BYTES
+                if not head.startswith(b"WARC/1.") or not headed and (stream.eof or size >= HEADER_BYTES):
                     return None
-            size += len(out[-1])
     except zlib.error:
         return None
     return b"".join(out), here - len(stream.unused_data)
@@ -167,10 +170,10 @@ def records_in(read_at, start: int, end: int):
 
 
 def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(path, size) -> RECORD: a row for each record, byte ranges dealt out to the tasks."""
+    """(path, size) -> RECORD: a row for each record, byte ranges dealt out to the tasks. The ranges are counted first: rows of some bytes would else be put together in one task."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start")
     ranges = files.where("size > 0").select("path", "size", starts)
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    ranges = ranges.repartitionByRange(max(1, min(ranges.count(), MOST_TASKS)), "path", "start")
 
     def rows(batches):
         import hashlib
