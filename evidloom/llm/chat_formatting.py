@@ -6,18 +6,21 @@ makes calls, a tool's
   {"tool_call_id": ..., "content": ...}
 is a result. Calls and results are joined by conversation and identifier. A call comes after the calls it names in
 `after` and after those whose result its arguments refer to as "$id"; its level is the longest chain of such calls before it.
-Levels are found by joins, round by round, so no conversation is ever gathered in one task: the
-result is a row for each message, call and result, and (conv_id, turn, level, position) is its order.
+Levels are found by joins, round by round (as many jobs as the longest chain of calls, whatever the number of
+conversations), so no conversation is ever gathered in one task: the result is a row for each message, call and result,
+and (conv_id, turn, level, position) is its order.
 
 Status of a call: unknown_tool, bad_arguments, cyclic, no_result or linked, the first that holds; of a
 result: orphan (no such call before it), repeated (not the first for its call) or linked; of a message: text.
 
-Canonical JSON: keys sorted by code point, no white space, no escapes but those JSON demands, numbers as they parse.
+Canonical JSON: keys sorted by code point, no white space, no escapes but those JSON demands, numbers as they parse,
+whole numbers of any length included; half a surrogate pair, which UTF-8 can't hold, stays an escape.
 
-Defined results: a null text is empty; a null role is "user"; a turn whose JSON is neither form is text; repeated
+Defined results: a null text is empty; a null role is "user"; a turn whose JSON is neither form, too deep or with numbers
+beyond what Python parses is text; identifiers with half a surrogate pair are compared in their escaped form; repeated
 rows of one conversation and turn each get their rows; of calls with one id in a conversation the
 first (turn, position) is linked to; null conversations or turns are kept, their calls linked among themselves, null
-turns before all others; an empty table gives no rows; extra columns are ignored.
+turns before all others, negative ones too; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +40,17 @@ SCHEMAS = {
 ITEM = "kind string, position bigint, call_id string, tool string, valid string, after array<string>, json string"
 
 
+def writable(text: str) -> str:
+    """Half surrogate pairs as JSON escapes: what is left is UTF-8."""
+    import re
+
+    return text if text.isascii() else re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
     import json
 
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return writable(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
 
 
 def fits(value, kind: str) -> bool:
@@ -50,7 +60,7 @@ def fits(value, kind: str) -> bool:
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     return {
         "string": isinstance(value, str),
-        "integer": number and float(value).is_integer(),
+        "integer": number and (isinstance(value, int) or value.is_integer()),
         "number": number,
         "boolean": isinstance(value, bool),
         "object": isinstance(value, dict),
@@ -96,7 +106,7 @@ def items_of(role: str, text: str, schemas: dict) -> list[tuple]:
     try:
         got = json.loads(text, parse_constant=lambda _: (_ for _ in ()).throw(ValueError()))
         if role == "tool" and isinstance(got.get("tool_call_id"), str):
-            return [("result", 0, got["tool_call_id"], None, None, [], canonical({"content": got.get("content"), "role": role, "tool_call_id": got["tool_call_id"]}))]
+            return [("result", 0, writable(got["tool_call_id"]), None, None, [], canonical({"content": got.get("content"), "role": role, "tool_call_id": got["tool_call_id"]}))]
         calls = got.get("tool_calls")
         if role == "assistant" and isinstance(calls, list) and calls and all(isinstance(c, dict) and isinstance(c.get("id"), str) for c in calls):
             out = [("message", 0, None, None, None, [], canonical({"content": got["content"], "role": role}))] if got.get("content") is not None else []
@@ -108,9 +118,9 @@ def items_of(role: str, text: str, schemas: dict) -> list[tuple]:
                     except ValueError:
                         pass
                 named = c.get("after") if isinstance(c.get("after"), list) else []
-                after = sorted({x for x in [*named, *references(arguments)] if isinstance(x, str)})
+                after = sorted({writable(x) for x in [*named, *references(arguments)] if isinstance(x, str)})
                 body = canonical({"role": role, "tool_call": {"arguments": arguments, "id": c["id"], "name": name}})
-                out.append(("call", i + 1, c["id"], name if isinstance(name, str) else None, checked(name, arguments, schemas), after, body))
+                out.append(("call", i + 1, writable(c["id"]), writable(name) if isinstance(name, str) else None, checked(name, arguments, schemas), after, body))
             return out
     except (ValueError, RecursionError):
         pass
@@ -141,30 +151,32 @@ def items(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
 def levels(calls: DataFrame) -> DataFrame:
     """First calls (c, id, after) -> (c, id, level), level -1 where a call waits for itself or for one that does.
 
-    Round by round, calls that wait for nothing unplaced are placed, until none is left or none can be. Calls
-    that no one has made aren't waited for. The rounds are as many as the longest chain.
+    A round drops the waits for calls that wait for nothing any more; a call's level is the number of rounds that it is
+    seen to wait. Rounds end when no wait is left or none goes. Calls that no one has made aren't waited for.
     """
     made = calls.select(F.col("c").alias("mc"), F.col("id").alias("m_id"))
-    needs = calls.select("c", "id", F.explode("after").alias("need")).join(made, F.col("c").eqNullSafe(F.col("mc")) & (F.col("need") == F.col("m_id")), "left_semi")
-    waiting = stored(needs, "waiting")
-    same = lambda d: (d["c"].eqNullSafe(F.col("wc"))) & (d["id"] == F.col("w_id"))
-    still = lambda d: d.select(F.col("c").alias("wc"), F.col("id").alias("w_id")).distinct()
-    placed = new = stored(calls.select("c", "id").join(still(waiting), (F.col("c").eqNullSafe(F.col("wc"))) & (F.col("id") == F.col("w_id")), "left_anti").withColumn("level", F.lit(0).cast("long")), "placed")
-    level = 0
-    while not waiting.isEmpty() and not new.isEmpty():
-        level += 1
-        done = new.select(F.col("c").alias("dc"), F.col("id").alias("d_id"))
-        left = stored(waiting.join(done, waiting["c"].eqNullSafe(F.col("dc")) & (waiting["need"] == F.col("d_id")), "left_anti"), "waiting")
-        before = waiting.select("c", "id").distinct()
-        new = stored(before.join(still(left), same(before), "left_anti").withColumn("level", F.lit(level).cast("long")), "placed")
-        placed, waiting = placed.unionByName(new), left
-    return placed.unionByName(waiting.select("c", "id").distinct().withColumn("level", F.lit(-1).cast("long")))
+    waits = stored(calls.select("c", "id", F.explode("after").alias("need")).join(made, F.col("c").eqNullSafe(F.col("mc")) & (F.col("need") == F.col("m_id")), "left_semi"), "waits")
+    callers = lambda d: d.select("c", "id").distinct()
+    seen, n = [], waits.count()
+    while n:
+        seen.append(callers(waits))
+        still = seen[-1].select(F.col("c").alias("wc"), F.col("id").alias("w_id"))
+        waits = stored(waits.join(still, F.col("c").eqNullSafe(F.col("wc")) & (F.col("need") == F.col("w_id")), "left_semi"), "waits")
+        if (left := waits.count()) == n:
+            seen[-1] = seen[-1].withColumn("cyclic", F.lit(True))
+            break
+        n = left
+    rounds = calls.select("c", "id", F.lit(0).alias("k"), F.lit(False).alias("cyclic"))
+    for waiting in seen:
+        rounds = rounds.unionByName((waiting if "cyclic" in waiting.columns else waiting.withColumn("cyclic", F.lit(False))).withColumn("k", F.lit(1)))
+    level = F.when(F.bool_or("cyclic"), F.lit(-1)).otherwise(F.sum("k")).cast("long")
+    return rounds.groupBy("c", "id").agg(level.alias("level"))
 
 
 def formatted(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """conversations -> conv_id, turn, level, position, kind, call_id, status, json."""
     all_items = stored(items(turns, schemas), "chat-items")
-    at = F.struct(F.coalesce("turn", F.lit(-1).cast("long")).alias("turn"), "position")
+    at = F.struct(F.col("turn").isNotNull().alias("known"), F.coalesce("turn", F.lit(0).cast("long")).alias("turn"), "position")
     calls = all_items.where("kind = 'call'").groupBy(F.col("conv_id").alias("c"), F.col("call_id").alias("id")).agg(F.min(F.struct(at.alias("at"), "after")).alias("f")).select("c", "id", F.col("f.at").alias("called"), F.col("f.after").alias("after"))
     results = all_items.where("kind = 'result'").groupBy(F.col("conv_id").alias("c2"), F.col("call_id").alias("id2")).agg(F.min(at).alias("answered"), F.max(at).alias("last"))
     placed = levels(stored(calls, "calls")).select(F.col("c").alias("c3"), F.col("id").alias("id3"), "level")

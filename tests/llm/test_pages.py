@@ -9,6 +9,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from evidloom.llm import chat_formatting, html_extraction, secret_scan, url_filters, warc
 from evidloom.llm.common import fresh_path, read
@@ -118,6 +119,20 @@ def test_warc_round_trip(spark, file_bytes, range_bytes):
     assert next(r["url"] for r in got if r["page_id"] == 1) == "http://a/%20b%0D%0AX:%20y"
 
 
+def test_warc_ranges_are_read_by_many_tasks(spark):
+    files = warc.write(warc.decided(pages(spark, [(i, "u", f"{i} " * 3000) for i in range(60)])), fresh_path(spark, "test-warc"))
+    ranges = sum(-(-r["size"] // 1000) for r in files.collect())
+    read = warc.read_archives(files, 1000).select("page_id", F.spark_partition_id().alias("task"))
+    assert read.count() == 60 and read.select("task").distinct().count() > min(ranges, 60) // 4
+
+
+def test_warc_header_is_bounded():
+    record = lambda n: warc.record(1, "u" * n, b"payload", "d", 7, None)
+    for n, found in ((1000, 1), (warc.HEADER_BYTES - 500, 1), (warc.HEADER_BYTES + 1, 0)):
+        data = gzip.compress(record(n)) + gzip.compress(record(5))
+        assert len(list(warc.records_in(lambda i, k, d=data: d[i : i + k], 0, len(data)))) == 1 + found
+
+
 def test_warc_reader_refuses_what_only_looks_like_a_member():
     record = warc.record(1, "u", b"payload", "d", 7, None)
     junk = b"\x1f\x8b\x08\x00no member" + gzip.compress(b"not a record") + b"\x1f\x8b"
@@ -217,6 +232,80 @@ def test_chat_calls_are_linked_ordered_and_checked(spark):
     assert chat_formatting.formatted(df.limit(0)).count() == 0
 
 
+def by_conversation(rows):
+    """Brute force over made turns (conv, turn, role, items as parsed): {(conv, turn, position, kind, id): (status, level)} with their numbers."""
+    out, of = Counter(), {}
+    key = lambda turn, at: (turn is not None, turn or 0, at)
+    for c, turn, kind, entries in rows:
+        of.setdefault(c, []).extend((key(turn, i + 1 if kind == "call" else 0), turn, i + 1 if kind == "call" else 0, kind, *e) for i, e in enumerate(entries))
+    for c, entries in of.items():
+        first, answers = {}, {}
+        for at, *_, kind, i, tool, after in sorted(entries, key=lambda x: (x[0], sorted(x[6]))):
+            if kind == "call":
+                first.setdefault(i, (at, after))
+            else:
+                answers.setdefault(i, []).append(at)
+        needs = {i: {x for x in after if x in first} for i, (_, after) in first.items()}
+        level = dict.fromkeys(needs, -1)
+        for k in range(len(needs) + 1):
+            for i in [i for i in needs if level[i] < 0 and all(0 <= level[x] < k for x in needs[i])]:
+                level[i] = k
+        for at, turn, place, kind, i, tool, after in entries:
+            if kind == "call":
+                late = max(answers.get(i, [()]), default=())
+                status = "unknown_tool" if tool == "nope" else "bad_arguments" if tool == "fetch!" else "cyclic" if level[i] < 0 else "linked" if late and late > first[i][0] and at == first[i][0] else "no_result"
+            else:
+                status = "orphan" if i not in first or not first[i][0] < at else "repeated" if at != min(answers[i]) else "linked"
+            out[c, turn, place, kind, i, status, level.get(i, 0)] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chat_links_levels_and_statuses_by_brute_force(spark, seed):
+    r = random.Random(seed)
+    rows, parsed = [], []
+    for c in [None, *range(12)]:
+        for turn in [*range(-1, r.randint(2, 9)), None]:
+            ids = [f"i{r.randint(0, 7)}" for _ in range(r.randint(1, 4))]
+            if r.random() < 0.6:
+                calls, entries = [], []
+                for i in ids:
+                    after = sorted({f"i{r.randint(0, 9)}" for _ in range(r.choice([0, 0, 1, 2]))} - ({i} if r.random() < 0.8 else set()))
+                    tool = r.choice(["fetch", "fetch", "fetch", "nope", "fetch!"])
+                    # A reference that stands in the arguments counts as one that is named.
+                    args = {} if tool == "fetch!" else {"url": f"${after[0]}" if after else "u"}
+                    calls.append({"id": i, "name": tool.rstrip("!"), "arguments": args, "after": after if tool != "fetch" else after[1:]})
+                    entries.append((i, tool, after))
+                rows.append((c, turn, "assistant", json.dumps({"tool_calls": calls})))
+                parsed.append((c, turn, "call", entries))
+            else:
+                rows.append((c, turn, "tool", json.dumps({"tool_call_id": ids[0], "content": turn})))
+                parsed.append((c, turn, "result", [(ids[0], None, [])]))
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = Counter((x["conv_id"], x["turn"], x["position"], x["kind"], x["call_id"], x["status"], x["level"]) for x in chat_formatting.formatted(df).collect())
+    assert got == by_conversation(parsed)
+
+
+def test_chat_numbers_and_surrogates(spark):
+    digits = "9" * 400
+    rows = [
+        (1, 0, "assistant", '{"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "q", "limit": %s}}]}' % digits),
+        (1, 1, "tool", '{"tool_call_id": "a", "content": "\\ud83d"}'),
+        (2, 0, "assistant", '{"content": "\\ude00 \\ud83d\\ude00", "tool_calls": [{"id": "\\ud83d", "name": "\\udc00", "arguments": {"x": "$\\ud83d"}}]}'),
+        (2, 1, "tool", '{"tool_call_id": "\\ud83d", "content": null}'),
+        (3, 0, "assistant", '{"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "q", "limit": %s}}]}' % ("9" * 5000)),
+        (3, 1, "assistant", '{"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "q", "limit": 1e999}}]}'),
+        (3, 2, "assistant", '{"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "q", "limit": 2.5}}]}'),
+    ]
+    out = chat_formatting.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    of = {(r["conv_id"], r["turn"], r["kind"]): r for r in out}
+    assert of[1, 0, "call"]["status"] == "linked" and f'"limit":{digits}' in of[1, 0, "call"]["json"]
+    assert of[1, 1, "result"]["json"] == r'{"content":"\ud83d","role":"tool","tool_call_id":"a"}'
+    assert of[2, 0, "message"]["json"] == r'{"content":"\ude00 😀","role":"assistant"}'
+    assert of[2, 0, "call"]["call_id"] == r"\ud83d" and of[2, 0, "call"]["status"] == "unknown_tool" and of[2, 1, "result"]["status"] == "linked"
+    assert (3, 0, "message") in of and (3, 1, "message") in of and of[3, 2, "call"]["status"] == "bad_arguments"
+
+
 def test_chat_of_the_table_is_its_messages(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").collect()
     want = Counter((r["conv_id"], r["turn"], json.dumps({"content": r["text"], "role": r["role"]}, ensure_ascii=False, separators=(",", ":"))) for r in turns)
