@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,34 +69,44 @@ def shingle_hashes(words: Column, k: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master, whose executors are the driver, gets a temporary one; a cluster is refused."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="evidloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
-#: Folders that scratch() has opened, the innermost last.
-_scratch: list[str] = []
+#: The folder that scratch() has opened last in this thread or task.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{_scratch.get() or shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Tables that are stored inside this block go to a folder that is deleted at its end: write what is to stay elsewhere before it ends."""
     folder = fresh_path(spark, "scratch")
-    _scratch.append(folder)
+    before = _scratch.set(folder)
     try:
         yield folder
     finally:
-        _scratch.remove(folder)
+        _scratch.reset(before)
         _delete(spark, folder)
 
 
+def settled(spark: SparkSession, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows stored; the tables that it has stored on the way are deleted."""
+    path = fresh_path(spark, what)
+    with scratch(spark):
+        (df := make()).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: df written as a table in the shared folder and read back. It outlives any executor."""
     spark = df.sparkSession
@@ -101,7 +114,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a side of a join that may be broadcast: some tens of MB of ids, hashes and short lists.
+#: Rows of a side of a join that may be broadcast: some tens of MB of ids, hashes and short lists. Operators take it as a parameter; beyond it both sides are shuffled, with the same rows.
 BROADCAST_ROWS = 500_000
 
 
