@@ -8,9 +8,13 @@ linear scan finds the contiguous region of the greatest sum. The text of the reg
 inside it, is cut into blocks.
 
 Labelled pages: those with an article element label themselves (words in it that aren't boilerplate are
-content). `label_pages` of them at most, those with the least hash of their id, are read on the driver: a
-fitted sample of documented size. Each counts twice, once as if it had no article element, so that the
-weights hold for such pages, too. Pages without any label get the prior weights.
+content). `label_pages` of them at most, those with the least hash, are fitted on: a sample of documented size. Their whole
+texts are counted where they lie; only counts come to the driver. Each counts twice, once as if it had no article
+element, so that the weights hold for such pages, too. Pages without any label get the prior weights.
+
+Second reading: a page whose region scores under STRAY, a line or so, is read again with nav, aside, footer and menu alone as
+boilerplate, for a form or a marked element may wrap it whole. That region counts if it scores STRAY at least and
+GAIN times the first one's.
 
 Defined results: null, empty and text-less pages give an empty text; whole pages are read, whatever their length, in
 linear time; unclosed elements end with the element around them; a page cut off anywhere is
@@ -20,6 +24,7 @@ read to its end; repeated rows each get a row; no rows give none; extra columns
 from __future__ import annotations
 
 import html as _html
+import json
 import math
 import re
 from collections import Counter
@@ -30,7 +35,6 @@ from pyspark.sql import functions as F
 from evidloom.llm.common import read
 
 LABEL_PAGES = 300
-LABEL_CHARS = 200_000
 SMOOTH = 2.0
 MOST = 4.0
 
@@ -54,8 +58,10 @@ FREE = frozenset("html body main article".split())
 ABOUT = frozenset("has with no without non".split())
 #: Boilerplate where marks and forms hold a whole page.
 SURE = frozenset("nav footer aside menu".split())
-#: Words that make such a page worth a second reading.
-LOOSE_WORDS = 50
+#: A region under this score is a stray line; a second reading scores so many times as much.
+STRAY, GAIN = 12.0, 5.0
+#: Elements that a p outside them isn't ended in.
+SCOPES = frozenset("td th table caption button marquee object applet html".split())
 
 _TAG = re.compile(r"""</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*+>""")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -84,67 +90,70 @@ def marked(name: str, tag: str) -> bool:
 def runs(page: str, loose: bool = False) -> list[tuple[str, object, str | None]]:
     """A page as ('tag', name, None) and ('text', context, text). A context: (boilerplate, in article, in link, block). loose: only SURE elements are boilerplate."""
     out: list[tuple[str, object, str | None]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, and the state before it: boilerplate, in article, in link
-    junk = article = link = False
-    at, n = 0, len(page)
+    # Open elements: name, and the state before it. The numbers of open ones by name keep unmatched ends from a search.
+    stack: list[tuple] = []
+    opened: Counter = Counter()
+    junk = article = link = p = False
+    block, at, n = "", 0, len(page)
     lowered = None
+
+    def end(name: str):
+        """The state before the last open element of a name; those in it end with it."""
+        while True:
+            top, *state = stack.pop()
+            opened[top] -= 1
+            if top == name:
+                return state
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
         if lt > at:
-            block = next((s[0] for s in reversed(stack) if s[0] in BLOCKS), "")
             out.append(("text", (junk, article, link, block), page[at:lt]))
         if lt >= n:
             break
         if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
+            close = page.find("-->", lt + 4)
+            at = n if close < 0 else close + 3
             continue
         if page.startswith(("<!", "<?"), lt):
-            end = page.find(">", lt)
-            at = n if end < 0 else end + 1
+            close = page.find(">", lt)
+            at = n if close < 0 else close + 1
             continue
         m = _NAME.match(page, lt)
         if not m:
-            block = next((s[0] for s in reversed(stack) if s[0] in BLOCKS), "")
             out.append(("text", (junk, article, link, block), "<"))
             at = lt + 1
             continue
         whole = _TAG.match(page, lt)
-        end = whole.end() if whole else page.find(">", lt) + 1 or n
-        tag, name = page[lt:end], m[1].lower()
-        at = end
+        at = whole.end() if whole else page.find(">", lt) + 1 or n
+        tag, name = page[lt:at], m[1].lower()
         if tag[1] == "/":
-            if any(s[0] == name for s in stack):
-                while True:
-                    top, junk, article, link = stack.pop()
-                    if top == name:
-                        break
+            if opened[name]:
+                junk, article, link, block, p = end(name)
             out.append(("tag", name, None))
             continue
         if name in RAW and not tag.endswith("/>"):
             lowered = page.lower() if lowered is None else lowered
             # Lower case keeps lengths but for a few letters; then the page itself is searched.
-            close = (lowered if len(lowered) == n else page).find("</" + name, end)
+            close = (lowered if len(lowered) == n else page).find("</" + name, at)
             gt = -1 if close < 0 else page.find(">", close)
             at = n if gt < 0 else gt + 1
             continue
-        if name in ENDS_P and stack and any(s[0] == "p" for s in stack[-8:]):
-            # An open p, and what is open in it, ends here.
-            while True:
-                top, junk, article, link = stack.pop()
-                if top == "p":
-                    break
+        if name in ENDS_P and p:
+            junk, article, link, block, p = end("p")
         out.append(("tag", name, None))
         if name in VOID or tag.endswith("/>"):
             continue
-        stack.append((name, junk, article, link))
+        stack.append((name, junk, article, link, block, p))
+        opened[name] += 1
         if name in ("article", "main"):
             junk, article = False, True
         elif not (name == "header" and article):
             junk = junk or (name in SURE if loose else marked(name, tag))
-        link = link or name == "a"
+        link, p = link or name == "a", name == "p" or p and name not in SCOPES
+        block = name if name in BLOCKS else block
     return out
 
 
@@ -173,20 +182,22 @@ def prior(key: tuple) -> float:
     return base * (0.3 if link and not junk else 1.0) * (1.0 if block in ("p", "h1", "h2", "h3", "blockquote", "pre", "li") else 0.6)
 
 
-def fit(pages: list[str]) -> dict[tuple, float]:
-    """Weights from labelled pages: log-odds of a word's context; of a tag, between content and the rest, and never above a small loss."""
+def counted(page: str) -> tuple[Counter, Counter]:
+    """Words and tags of a labelled page by key: of content and of the rest; none of a page without content."""
     inside: Counter = Counter()
     outside: Counter = Counter()
-    for page in pages:
-        items = runs(page[:LABEL_CHARS])
-        labels = [c for _, _, c in _keys(items)]
-        if not any(labels):
-            continue
-        for as_if_none in (False, True):
-            content = False
-            for (key, words, _), label in zip(_keys(items, as_if_none), labels, strict=True):
-                content = content if label is None else label
-                (inside if content else outside)[key] += words
+    items = runs(page)
+    labels = [c for _, _, c in _keys(items)]
+    for as_if_none in (False, True) if any(labels) else ():
+        content = False
+        for (key, words, _), label in zip(_keys(items, as_if_none), labels, strict=True):
+            content = content if label is None else label
+            (inside if content else outside)[key] += words
+    return inside, outside
+
+
+def weights_of(inside: Counter, outside: Counter) -> dict[tuple, float]:
+    """Log-odds of a word's context; of a tag, between content and the rest, and never above a small loss."""
     total = [max(1, sum(c.values())) for c in (inside, outside)]
     out = {}
     for key in inside.keys() | outside.keys():
@@ -200,6 +211,15 @@ def fit(pages: list[str]) -> dict[tuple, float]:
     return out
 
 
+def fit(pages: list[str]) -> dict[tuple, float]:
+    """Weights from labelled pages."""
+    inside, outside = Counter(), Counter()
+    for a, b in map(counted, pages):
+        inside.update(a)
+        outside.update(b)
+    return weights_of(inside, outside)
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """[start, end) of the contiguous stretch of the greatest sum, the first at ties; empty if none is above 0."""
     best, here, start, found = 0.0, 0.0, 0, (0, 0)
@@ -212,10 +232,15 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def _text(items: list, weights: dict[tuple, float]) -> str:
+def _region(items: list, weights: dict[tuple, float]) -> tuple[float, int, int]:
+    """(score, start, end) of the best region."""
     # Boilerplate's words never enter the text: crossing them costs their tags alone.
     scores = [0.0 if key[0] == "word" and key[1] else words * weights.get(key, prior(key)) for key, words, _ in _keys(items)]
     start, end = best_region(scores)
+    return sum(scores[start:end]), start, end
+
+
+def _text(items: list) -> str:
     blocks, now = [], []
 
     def close():
@@ -223,7 +248,7 @@ def _text(items: list, weights: dict[tuple, float]) -> str:
             blocks.append(text)
         now.clear()
 
-    for kind, what, text in items[start:end]:
+    for kind, what, text in items:
         if kind == "tag":
             if what == "br":
                 now.append(" ")
@@ -236,23 +261,41 @@ def _text(items: list, weights: dict[tuple, float]) -> str:
 
 
 def extract(page: str | None, weights: dict[tuple, float]) -> str:
-    """The main text of a page: blocks joined by two line feeds. Where marks leave nothing of a page of many words, they are set aside."""
+    """The main text of a page: blocks joined by two line feeds. Where marks leave no more than a stray line, the page is read again without them."""
     if not page:
         return ""
-    if text := _text(runs(page), weights):
-        return text
-    text = _text(runs(page, loose=True), weights)
-    return text if len(text.split()) >= LOOSE_WORDS else ""
+    items = runs(page)
+    score, start, end = _region(items, weights)
+    if score < STRAY:
+        again = runs(page, loose=True)
+        more, a, b = _region(again, weights)
+        if more >= max(STRAY, GAIN * score):
+            items, start, end = again, a, b
+    return _text(items[start:end])
 
 
 def learned(pages: DataFrame, label_pages: int = LABEL_PAGES) -> dict[tuple, float]:
-    """Weights fitted on the sample of labelled pages of a table (html); see the module. First the least hashes are found, a few bytes a page; only their pages come to the driver."""
+    """Weights fitted on the sample of labelled pages of a table (html); see the module. First the least hashes are found, a few bytes a page; their pages are counted on the executors."""
     labelled = pages.where(F.lower("html").contains("<article")).select("html", F.xxhash64("html").alias("h"))
     last = labelled.select("h").distinct().orderBy("h").limit(label_pages).agg(F.max("h").alias("h")).first()["h"]
     if last is None:
         return {}
-    some = labelled.where(F.col("h") <= last).groupBy("h").agg(F.first(F.substring("html", 1, LABEL_CHARS)).alias("html")).orderBy("h")
-    return fit([r["html"] for r in some.collect()])
+    some = labelled.where(F.col("h") <= last).groupBy("h").agg(F.first("html").alias("html")).select("html")
+
+    def counts(batches):
+        import pyarrow as pa
+
+        sides = Counter(), Counter()
+        for b in batches:
+            for page in b.column(0):
+                for side, found in zip(sides, counted(page.as_py()), strict=True):
+                    side.update(found)
+        rows = [(json.dumps(key), *[side[key] for side in sides]) for key in sides[0].keys() | sides[1].keys()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)]], names=["key", "inside", "outside"])
+
+    found = some.mapInArrow(counts, "key string, inside bigint, outside bigint").groupBy("key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
+    key = lambda r: tuple(json.loads(r["key"]))
+    return weights_of(Counter({key(r): r["inside"] for r in found}), Counter({key(r): r["outside"] for r in found}))
 
 
 def main_text(pages: DataFrame, weights: dict[tuple, float] | None = None) -> DataFrame:
