@@ -15,8 +15,9 @@ text. Lines of fewer than `min_words` words are removed for an earlier equal lin
 4. Check: a line's words are compared with those of the lines found before it.
 5. The places of removed lines are joined to the documents.
 
-Texts meet the places of lines twice. At 3, where the lines that are left have been counted to be few enough to
-broadcast, texts stay where they are; else, and at 5, they are shuffled by document.
+Texts meet the places of lines twice. At 3, where the lines that are left have been counted to be `broadcast_rows` at
+most, they are broadcast and texts stay where they are; else, and at 5, texts are shuffled by document. What the steps
+store is deleted once the places of removed lines are.
 
 Hashes before and after a place are kept as prefix and suffix sums (XOR of word hashes with their places), in blocks of 64
 words, so a line of W words costs about 64 W steps.
@@ -32,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import SPACE_RE, let, read, small_side, stored
+from evidloom.llm.common import BROADCAST_ROWS, SPACE_RE, let, read, settled, small_side, stored
 
 MIN_WORDS = 5
 BLOCK = 64
@@ -118,7 +119,7 @@ def _text_side(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("__id"), F.xxhash64("text").alias("__doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
 
 
-def removed_lines(docs: DataFrame, text_side: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, text_side: DataFrame, min_words: int = MIN_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(__id, __doc, __no) of the lines to remove."""
     n = F.size(F.split("line", " "))
     lines = _lines(docs).where("line <> ''").withColumn("n", n)
@@ -126,7 +127,7 @@ def removed_lines(docs: DataFrame, text_side: DataFrame, min_words: int = MIN_WO
     place = F.struct(F.col("__id").alias("id"), F.col("__no").alias("no"))
     firsts = stored(lines.groupBy("a", "b").agg(F.min(F.struct("__id", "__no", "__doc", "ends")).alias("f"), F.count("*").alias("times")).select("a", "b", "times", "f.*"), "firsts")
 
-    again = small_side(firsts.where("times > 1").select(F.col("a").alias("fa"), F.col("b").alias("fb"), place.alias("first")))
+    again = small_side(firsts.where("times > 1").select(F.col("a").alias("fa"), F.col("b").alias("fb"), place.alias("first")), broadcast_rows)
     equal = lines.join(again, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb"))).where(place > F.col("first")).select("__id", "__doc", "__no")
 
     # From here on a line is known by the first of its hashes: where two lines should share it, both are kept in the search.
@@ -135,7 +136,7 @@ def removed_lines(docs: DataFrame, text_side: DataFrame, min_words: int = MIN_WO
     halves = halves.join(shared, F.col("end") == F.col("__end")).groupBy("a").agg(F.max(F.col("which") % 2 == 0).alias("by_first"), F.max(F.col("which") % 2 == 1).alias("by_last"))
     live = firsts.select("a", "__id", "__no", "__doc").join(halves, ["a"])
     wanted = stored(live.groupBy("__id", "__doc").agg(F.collect_list(F.struct("__no", "a", "by_first", "by_last")).alias("its")), "wanted")
-    found = text_side.join(small_side(wanted, weight=F.size("its")), ["__id", "__doc"]).select("__id", "__doc", F.split("__row.text", "\n").alias("raw"), F.explode("its").alias("it"))
+    found = text_side.join(small_side(wanted, broadcast_rows, F.size("its")), ["__id", "__doc"]).select("__id", "__doc", F.split("__row.text", "\n").alias("raw"), F.explode("its").alias("it"))
     found = found.select("__id", "__doc", "it.*", F.split(_normal(F.get("raw", F.col("it.__no"))), " ").alias("w")).dropDuplicates(["a", "__id", "__no", "__doc"])
     live = stored(found, "live-lines")
 
@@ -152,29 +153,29 @@ def removed_lines(docs: DataFrame, text_side: DataFrame, min_words: int = MIN_WO
     return equal.unionByName(near).distinct()
 
 
-def _kept(docs: DataFrame, min_words: int) -> DataFrame:
+def _kept(docs: DataFrame, min_words: int, broadcast_rows: int) -> DataFrame:
     """docs' columns as __row, __n and __kept: its lines, those that stay."""
     side = _text_side(docs)
-    gone = removed_lines(docs, side, min_words).groupBy("__id", "__doc").agg(F.collect_list("__no").alias("gone"))
+    gone = settled(docs.sparkSession, "removed-lines", lambda: removed_lines(docs, side, min_words, broadcast_rows).groupBy("__id", "__doc").agg(F.collect_list("__no").alias("gone")))
     gone = gone.select("__id", "__doc", F.map_from_entries(F.transform("gone", lambda i: F.struct(i, F.lit(True)))).alias("gone"))
     lines = F.split("__row.text", "\n")
     stay = F.filter(lines, lambda x, i: F.coalesce(F.col("gone").isNull() | ~F.map_contains_key("gone", i), F.lit(True)))
     return side.join(gone, ["__id", "__doc"], "left").select("__row", F.coalesce(F.size(lines), F.lit(0)).alias("__n"), F.when(F.col("gone").isNull(), lines).otherwise(stay).alias("__kept"))
 
 
-def mark(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def mark(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_lines, n_removed, text (of the lines that stay): a row for each row of docs."""
-    out = _kept(docs.select("doc_id", "text"), min_words)
+    out = _kept(docs.select("doc_id", "text"), min_words, broadcast_rows)
     n = F.when(F.col("__row.text").isNull(), F.lit(0)).otherwise(F.col("__n")).cast("long")
     left = F.coalesce(F.size("__kept"), F.lit(0)).cast("long")
     return out.select("__row.doc_id", n.alias("n_lines"), F.when(F.col("__row.text").isNull(), F.lit(0).cast("long")).otherwise(n - left).alias("n_removed"), F.array_join("__kept", "\n").alias("text"))
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with its lines removed from text, and n_chars, if there, counted anew."""
     text = F.array_join("__kept", "\n")
     new = {"text": text, "n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return _kept(docs, min_words).select(*[(new[c] if new.get(c) is not None else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
+    return _kept(docs, min_words, broadcast_rows).select(*[(new[c] if new.get(c) is not None else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,9 +190,9 @@ WITH raw AS (
 ), l AS (
   SELECT *, coalesce(doc_id, {FIRST}) AS id, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM raw
 ), f AS (
-  SELECT w, min((id, no)) AS p FROM l WHERE len(w) >= {MIN_WORDS} GROUP BY w
+  SELECT w, min((id, no)) AS p FROM l WHERE len(w) > 0 GROUP BY w
 ), e AS (
-  SELECT w, p, unnest([('p', n, array_to_string(w[:n//2], ' ')) for n in [len(w), len(w) - 1]] || [('s', n, array_to_string(w[len(w)-n//2+1:], ' ')) for n in [len(w), len(w) - 1]]) AS k FROM f
+  SELECT w, p, unnest([('p', n, array_to_string(w[:n//2], ' ')) for n in [len(w), len(w) - 1]] || [('s', n, array_to_string(w[len(w)-n//2+1:], ' ')) for n in [len(w), len(w) - 1]]) AS k FROM f WHERE len(w) >= {MIN_WORDS}
 ), two AS (
   SELECT DISTINCT x.w, y.w AS v, y.p AS m FROM e x JOIN e y USING (k) WHERE y.p < x.p AND abs(len(x.w) - len(y.w)) <= 1
 ), met AS (
