@@ -6,14 +6,16 @@ An item is contained in a document if at least 4 of 5 of its shingles are the do
 Search. Items are partitioned by the power of two above their number of shingles. An item's sketch is
 its k least shingle hashes (bottom-k MinHash) with k = u // 5 + 1 for the largest size u of its
 partition. A contained item lacks at most a fifth of its shingles, so at least one value of its
-sketch is a hash of the document: no contained item is lost, however long the document. A
-document gives those of its hashes that are at most the largest sketch value, and
-the two sides are joined.
+sketch is a hash of the document: no contained item is lost, however long the document. A document is
+searched in the partitions whose least item is short enough for its own number of shingles: it gives
+those of its hashes that are at most the greatest sketch value of these, and a hash that is met makes a
+candidate only of items that are short enough themselves.
 
 Check. The documents of candidates are read again and the item's and the document's shingles are
 intersected as strings.
 
-Sketches, item shingles and candidates are broadcast only if counted and few; else joined by shuffle.
+Sketches, item shingles and candidates are broadcast only if counted and at most `broadcast_rows`
+(strings: a third of it); else both sides are shuffled, with the same rows.
 
 Defined results: null and blank texts have no shingles, contain nothing and are contained nowhere; a
 text of fewer than 5 words is one shingle of them all, so such an item is found only in
@@ -27,12 +29,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import ASCII_LOWER, ASCII_UPPER, BROADCAST_ROWS, let, read, rows_of, rows_with, small_side, stored, words_of
+from evidloom.llm.common import ASCII_LOWER, ASCII_UPPER, BROADCAST_ROWS, let, read, rows_of, rows_with, settled, small_side, stored, words_of
 
 SHINGLE = 5
 PUNCTUATION = ".,;:!?\"'()"
-#: Shingles of items that may be broadcast as strings.
-BROADCAST_SHINGLES = 200_000
 
 
 def _words(text: Column) -> Column:
@@ -56,34 +56,44 @@ def shingles_of(text: Column) -> Column:
 
 
 def sketches(items: DataFrame) -> DataFrame:
-    """items (item_id, text) -> (item_id, item_key, h): item_key tells texts of one id apart."""
+    """items (item_id, text) -> (item_id, item_key, n, largest, h): item_key tells texts of one id apart, n is the number of shingles, largest the size partition."""
     sized = items.select("item_id", F.xxhash64("text").alias("item_key"), F.sort_array(hashes_of(F.col("text"))).alias("a")).where("a IS NOT NULL").distinct()
     largest = F.pow(F.lit(2), F.ceil(F.log2(F.size("a")))).cast("int")
     k = F.least(F.size("a"), F.floor(largest / 5).cast("int") + 1)
-    return sized.select("item_id", "item_key", F.explode(F.slice("a", F.lit(1), k)).alias("h"))
+    return sized.select("item_id", "item_key", F.size("a").alias("n"), largest.alias("largest"), F.explode(F.slice("a", F.lit(1), k)).alias("h"))
 
 
-def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _long_enough(n_doc: Column, n_item: Column) -> Column:
+    """Whether a document of so many shingles can contain an item of so many."""
+    return n_doc * 5 >= n_item * 4
+
+
+def candidates(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, doc_key, item_id, item_key) of pairs that share a sketch value; doc_key is a hash of the text."""
     sketch = stored(sketches(items), "sketches")
-    most = sketch.agg(F.max("h").alias("h")).first()["h"]
-    probes = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), hashes_of(F.col("text")).alias("a"))
-    probes = probes.select("doc_id", "doc_key", F.explode(F.filter("a", lambda h: h <= F.lit(most).cast("long"))).alias("p"))
-    found = probes.join(small_side(sketch), F.col("p") == F.col("h"))
+    # A row for each size partition: powers of two, 31 at most.
+    partitions = sketch.groupBy("largest").agg(F.min("n").alias("least"), F.max("h").alias("most")).orderBy("largest").collect()
+
+    def searched(a: Column) -> Column:
+        reach = F.greatest(F.lit(None).cast("long"), F.lit(None).cast("long"), *[F.when(_long_enough(F.size(a), F.lit(p["least"])), F.lit(p["most"]).cast("long")) for p in partitions])
+        return let(reach, lambda most: F.filter(a, lambda h: h <= most))
+
+    probes = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), let(hashes_of(F.col("text")), lambda a: F.struct(F.size(a).alias("n_doc"), searched(a).alias("found"))).alias("s"))
+    probes = probes.select("doc_id", "doc_key", "s.n_doc", F.explode("s.found").alias("p"))
+    found = probes.join(small_side(sketch, broadcast_rows), (F.col("p") == F.col("h")) & _long_enough(F.col("n_doc"), F.col("n")))
     return found.select("doc_id", "doc_key", "item_id", "item_key").distinct()
 
 
-def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _matches(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
     """(doc_id, doc_key, item_id, n_shared, n_item) of documents with an item contained."""
-    cands = stored(candidates(docs, items), "candidates")
+    cands = stored(candidates(docs, items, broadcast_rows), "candidates")
     by_doc = cands.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("item_id", "item_key")).alias("its")).withColumnsRenamed({"doc_id": "c_id", "doc_key": "c_key"})
-    side = F.broadcast(by_doc) if cands.count() <= BROADCAST_ROWS else by_doc
+    side = F.broadcast(by_doc) if cands.count() <= broadcast_rows else by_doc
     own = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), "text")
     hit = own.join(side, own["doc_id"].eqNullSafe(F.col("c_id")) & (F.col("doc_key") == F.col("c_key")))
     pairs = hit.select("doc_id", "doc_key", shingles_of(F.col("text")).alias("d"), "its").select("doc_id", "doc_key", "d", F.explode("its").alias("it"))
     wanted = items.select(F.col("item_id").alias("i_id"), F.xxhash64("text").alias("i_key"), shingles_of(F.col("text")).alias("s")).where("s IS NOT NULL").distinct()
-    n = wanted.agg(F.sum(F.size("s")).alias("n")).first()["n"] or 0
-    wanted = F.broadcast(wanted) if n <= BROADCAST_SHINGLES else wanted
+    wanted = small_side(stored(wanted, "item-shingles"), broadcast_rows // 3, F.size("s"))
     both = pairs.join(wanted, F.col("it.item_id").eqNullSafe(F.col("i_id")) & (F.col("it.item_key") == F.col("i_key")))
     counted = both.select(
         "doc_id", "doc_key", F.col("i_id").alias("item_id"), F.size(F.array_intersect("d", "s")).cast("long").alias("n_shared"), F.size("s").cast("long").alias("n_item")
@@ -91,16 +101,16 @@ def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     return counted.where(F.col("n_shared") * 5 >= F.col("n_item") * 4)
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each document and item contained in it: doc_id, item_id, n_shared, n_item."""
-    return _matches(docs, items).select("doc_id", "item_id", "n_shared", "n_item")
+    return _matches(docs, items, broadcast_rows).select("doc_id", "item_id", "n_shared", "n_item")
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    bad = stored(_matches(docs, items).select("doc_id", "doc_key").distinct(), "contaminated")
+    bad = settled(docs.sparkSession, "contaminated", lambda: _matches(docs, items, broadcast_rows).select("doc_id", "doc_key").distinct())
     own = rows_with(docs, own_id=F.col("doc_id"), own_key=F.xxhash64("text"))
-    return rows_of(own.join(small_side(bad), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("doc_key")), "left_anti"), docs)
+    return rows_of(own.join(small_side(bad, broadcast_rows), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("doc_key")), "left_anti"), docs)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
