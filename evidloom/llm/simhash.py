@@ -28,12 +28,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import let, lower_ascii, read, rows_of, rows_with, shingle_hashes, stored, words_of
+from evidloom.llm.common import forget, let, lower_ascii, read, rows_of, rows_with, shingle_hashes, stored, words_of
 from evidloom.llm.components import connected_components
 
 SHINGLE = 3
 BITS = 2
 PAIR_LIMIT = 32
+#: Fingerprints of a task that makes keys.
+LOT = 20_000
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
@@ -144,9 +146,12 @@ def _keyed(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (u, v) whose components are those of all links at BITS or fewer."""
-    keyed = _keyed(fps)
+    # Each fingerprint becomes some 20 keys: small lots of them are dealt out, and the keys are made once.
+    lots = -(-fps.count() // LOT) or 1
+    keyed = stored(_keyed(fps.repartition(lots, "fp")), "search-keys")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__key"), "n")
     shared = stored(keyed.join(sizes, F.col("key") == F.col("__key")).select("key", "fp", "n"), "buckets")
+    forget(keyed)
     lists = shared.where(F.col("n") <= pair_limit).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("a"))
     pairs = (
         lists.select("a", F.posexplode("a").alias("i", "v"))
