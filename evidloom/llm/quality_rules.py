@@ -1,17 +1,23 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
-A fixed junk score ranks documents. Labelled documents (labels.quality = 1: good) are the
-holdout: for each stratum and each cutoff of a fixed grid the exact binomial test of
-"at least max_risk of the good documents are rejected" is made, and a cutoff is certified if
-its tail P(Bin(n, max_risk) <= rejected) is at most delta / (strata * cutoffs) (Bonferroni, so
-the guarantee holds for all of them at once, whichever is then chosen). Of the certified
-cutoffs a stratum takes the one with the best gain, rejected share of bad less `cost` times
-rejected share of good, the highest at ties; a stratum where none is certified, or none
-gains, rejects nothing by score.
+Four rules judge a text by a share: symbols by words, capitals by characters, repeated lines by lines, words in repeated
+windows by words. A rule has a cutoff out of CUTS (twentieths) or is off; a text is rejected if one of its shares
+reaches its rule's cutoff. Labelled documents (labels.quality = 1: good) that pass the base rules are the holdout: for each
+stratum and each of the 256 vectors of cutoffs the exact binomial test of "at least max_risk of the good documents are
+rejected" is made, and a vector is certified if its tail P(Bin(n, max_risk) <= rejected) is at most delta / (strata *
+vectors) (Bonferroni, so the guarantee holds for all of them at once, whichever is then chosen). Of the certified
+vectors a stratum takes the one with the best gain, rejected share of bad less `cost` times rejected share of good, the
+highest cutoffs at ties; a stratum where none is certified, or none gains, rejects nothing by these rules.
+
+A trial is a text: equal texts of a stratum with equal labels count once, however many documents or labels repeat them. (Near
+copies count each; where they are many, the trials aren't independent.) The guarantee is on what these rules reject of
+good documents that pass the base rules. The base rules are fixed and reject what they say, good documents too: short ones.
+
+Texts are read once: their counts are stored, some bytes a document, and cutoffs and verdicts are made of these.
 
 Defined results: a null or blank text has no words and fails the base rules; a null language
 or one outside `strata` belongs to stratum 'other'; labels with a null doc_id, a null quality or
-no document are ignored, repeated labels count as often as they occur; repeated documents
+no document are ignored, a text labelled good and bad counts as both; repeated documents
 each get a row; other columns of the documents stay (`keep`) or go (`rate`), whatever their
 names.
 """
@@ -21,11 +27,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import let, read, rows_of, rows_with, words_of
+from evidloom.llm.common import let, read, rows_of, rows_with, stored, words_of
 
 STRATA = ("en", "fr", "de", "es")
-#: Cutoffs of the score, in twentieths: a document is rejected if its level is the cutoff or more.
-LEVELS = 20
+#: Rules (count, by what) and their cutoffs in twentieths.
+RULES = (("n_symbols", "n_words"), ("n_upper", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"))
+CUTS = (2, 5, 10)
+#: A rule has one of these or is off.
+CHOICES = len(CUTS) + 1
+VECTORS = CHOICES ** len(RULES)
 MAX_RISK = 0.02
 DELTA = 0.05
 COST = 10.0
@@ -33,7 +43,7 @@ MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "level")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _repeat_words(w: Column) -> Column:
@@ -61,31 +71,42 @@ def _totals(text: Column) -> dict[str, Column]:
     }
 
 
-def _level(c: Column) -> Column:
-    """Of a struct of counts: the greater of the shares of symbols by words and of capitals by characters, in twentieths."""
-    share = lambda a, b: F.when(b > 0, (F.lit(LEVELS) * a / b)).otherwise(F.lit(0.0))
-    most = F.greatest(share(c["n_symbols"], c["n_words"]), share(c["n_upper"], c["word_chars"]))
-    return F.floor(F.least(F.lit(float(LEVELS)), most)).cast("long")
+def _cell(c: Column) -> Column:
+    """Of a struct of counts: how many cuts each rule's share reaches, as the digits of one number, the first rule's lowest."""
+    reached = lambda a, b: sum(((c[b] > 0) & (F.lit(20) * c[a] >= F.lit(cut) * c[b])).cast("int") for cut in CUTS)
+    return sum(reached(*rule) * CHOICES**k for k, rule in enumerate(RULES)).cast("int")
 
 
-def level_of(text: Column) -> Column:
-    """The level of the junk score alone, without the costlier measures."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return let(F.struct(n.alias("n_words"), *[c.alias(k) for k, c in _totals(text).items()]), _level)
+def _digit(number: Column, k: int) -> Column:
+    return F.floor(number / CHOICES**k).cast("int") % CHOICES
+
+
+def rejects(cell: Column, vector: Column) -> Column:
+    """Whether a cell reaches a vector's cutoffs: a digit of the vector is the place of the rule's cutoff in CUTS; the last says that it is off."""
+    out = F.lit(False)
+    for k in range(len(RULES)):
+        out = out | (_digit(cell, k) > _digit(vector, k))
+    return out
 
 
 def measures(text: Column) -> Column:
-    """A struct of MEASURES: the base counts as long and the level of the junk score from 0 to LEVELS."""
+    """A struct of MEASURES as long, base_failed and cell."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counts = lambda w: F.struct(
+    counted = lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
         *[c.alias(k) for k, c in _totals(text).items()],
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("d"))).alias("lines"),
         _repeat_words(w).cast("long").alias("n_repeat_words"),
     )
-    return let(let(words_of(text), counts), lambda c: F.struct(*[c[k].alias(k) for k in MEASURES[:-1]], _level(c).alias("level")))
+    own = ("n_words", "word_chars", "n_symbols", "n_upper", "n_repeat_words")
+    named = lambda c: F.struct(*[c[k].alias(k) for k in own], c["lines"]["n"].alias("n_lines"), (c["lines"]["n"] - c["lines"]["d"]).alias("n_dup_lines"))
+    judged = lambda c: F.struct(*[c[k].alias(k) for k in MEASURES], base_failed(c).alias("base_failed"), _cell(c).alias("cell"))
+    return let(let(let(words_of(text), counted), named), judged)
+
+
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < MIN_WORDS) | (F.lit(100) * m["n_repeat_words"] > F.lit(50) * m["n_words"])
 
 
 def stratum(lang: Column, strata: tuple[str, ...] = STRATA) -> Column:
@@ -105,67 +126,58 @@ def tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n, F.lit(1.0)).when(k < 1, F.exp(first)).otherwise(F.least(total, F.lit(1.0)))
 
 
-def cutoffs(scored_labels: DataFrame, *, max_risk: float = MAX_RISK, delta: float = DELTA, cost: float = COST, strata: tuple[str, ...] = STRATA) -> DataFrame:
-    """(stratum, level, quality) of labelled documents -> (stratum, cutoff), at most len(strata) + 1 rows: the counts reach one task already summed by stratum, level and quality."""
-    n_tests = (len(strata) + 1) * LEVELS
-    counted = scored_labels.groupBy("stratum", "level", "quality").agg(F.count("*").alias("n"))
-    levels = F.explode(F.sequence(F.lit(1), F.lit(LEVELS))).alias("cutoff")
-    over = F.col("level") >= F.col("cutoff")
+def cutoffs(trials: DataFrame, *, max_risk: float = MAX_RISK, delta: float = DELTA, cost: float = COST, strata: tuple[str, ...] = STRATA) -> DataFrame:
+    """(stratum, cell, quality) of labelled texts -> (stratum, vector, cuts), at most len(strata) + 1 rows: the counts are summed by stratum, cell and quality, some thousand rows, before vectors are tried. cuts: the cutoff of each rule, null for off."""
+    n_tests = (len(strata) + 1) * VECTORS
+    counted = trials.groupBy("stratum", "cell", "quality").agg(F.count("*").alias("n"))
+    good, out = F.col("quality") == 1, rejects(F.col("cell"), F.col("vector"))
     tried = (
-        counted.select("*", levels)
-        .groupBy("stratum", "cutoff")
-        .agg(
-            F.sum(F.when(F.col("quality") == 1, F.col("n")).otherwise(0)).alias("good"),
-            F.sum(F.when((F.col("quality") == 1) & over, F.col("n")).otherwise(0)).alias("good_out"),
-            F.sum(F.when(F.col("quality") != 1, F.col("n")).otherwise(0)).alias("bad"),
-            F.sum(F.when((F.col("quality") != 1) & over, F.col("n")).otherwise(0)).alias("bad_out"),
-        )
+        counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(VECTORS - 1))).alias("vector"))
+        .groupBy("stratum", "vector")
+        .agg(*[F.sum(F.when(which, F.col("n")).otherwise(0)).alias(name) for name, which in (("good", good), ("good_out", good & out), ("bad", ~good), ("bad_out", ~good & out))])
     )
     # A tail is summed only where the share of rejected lies under the risk; elsewhere it exceeds a half or so.
     certified = F.when(F.col("good_out") <= F.col("good") * max_risk, tail(F.col("good"), F.col("good_out"), max_risk) <= delta / n_tests).otherwise(False)
     gain = F.col("bad_out") / F.col("bad") - cost * F.col("good_out") / F.col("good")
-    return (
+    places = [_digit(F.col("vector"), k) for k in range(len(RULES))]
+    best = (
         tried.where((F.col("good") > 0) & (F.col("bad") > 0))
         .where(certified)
-        .select("stratum", "cutoff", F.round(gain, 9).alias("gain"))
+        .select("stratum", "vector", F.round(gain, 9).alias("gain"))
         .where("gain > 0")
         .groupBy("stratum")
-        .agg(F.max(F.struct("gain", "cutoff"))["cutoff"].alias("cutoff"))
+        .agg(F.max(F.struct("gain", sum(places).alias("height"), "vector"))["vector"].alias("vector"))
     )
+    return best.select("stratum", "vector", F.array(*[F.get(F.array(*[F.lit(c) for c in CUTS]), p) for p in places]).alias("cuts"))
 
 
-def base_failed(m: Column) -> Column:
-    return (m["n_words"] < MIN_WORDS) | (F.lit(100) * m["n_repeat_words"] > F.lit(50) * m["n_words"])
+def limits(measured: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """The cutoffs that labelled documents (doc_id, key: a hash of the text, stratum, base_failed, cell) certify: (__stratum, __vector)."""
+    wanted = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("quality").alias("quality"))
+    judged = measured.where("NOT base_failed").select("doc_id", "key", "stratum", "cell")
+    trials = judged.join(wanted, F.col("doc_id") == F.col("__id")).select("stratum", "key", "cell", "quality").distinct()
+    return cutoffs(trials, **parameters).select(F.col("stratum").alias("__stratum"), F.col("vector").alias("__vector"))
 
 
-def limits(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The cutoffs that the labelled documents certify: (__stratum, __cutoff)."""
-    wanted = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("quality").alias("quality"))
-    rated = docs.select("doc_id", stratum(F.col("lang"), parameters.get("strata", STRATA)).alias("stratum"), level_of(F.col("text")).alias("level"))
-    scored = rated.join(wanted, rated.doc_id == wanted["__id"]).select("stratum", "level", "quality")
-    return cutoffs(scored, **parameters).select(F.col("stratum").alias("__stratum"), F.col("cutoff").alias("__cutoff"))
+def _kept() -> Column:
+    return ~F.col("base_failed") & ~F.coalesce(rejects(F.col("cell"), F.col("__vector")), F.lit(False))
 
 
 def rate(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """One row for each document: doc_id, the base counts, base_failed, kept."""
-    m = docs.select("doc_id", measures(F.col("text")).alias("__m"), stratum(F.col("lang"), parameters.get("strata", STRATA)).alias("__s"))
-    joined = m.join(F.broadcast(limits(docs, labels, **parameters)), F.col("__s") == F.col("__stratum"), "left")
-    failed = base_failed(F.col("__m"))
-    kept = ~failed & ~F.coalesce(F.col("__m.level") >= F.col("__cutoff"), F.lit(False))
-    return joined.select("doc_id", *[F.col(f"__m.{k}").alias(k) for k in MEASURES[:-1]], failed.alias("base_failed"), kept.alias("kept"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("key"), stratum(F.col("lang"), parameters.get("strata", STRATA)).alias("stratum"), measures(F.col("text")).alias("m"))
+    measured = stored(own.select("doc_id", "key", "stratum", "m.*"), "measures")
+    joined = measured.join(F.broadcast(limits(measured, labels, **parameters)), F.col("stratum") == F.col("__stratum"), "left")
+    return joined.select("doc_id", *MEASURES, "base_failed", _kept().alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The documents that the rules keep, with all their columns.
-
-    A document's verdict is one number, its level or one above all levels, made below the join: a condition on
-    the measures themselves would be pushed down and make them twice.
-    """
-    # coalesce: what can't be null isn't tested for null, which would make the measures again.
-    verdict = F.coalesce(let(measures(F.col("text")), lambda m: F.when(base_failed(m), F.lit(LEVELS + 2)).otherwise(m["level"])), F.lit(LEVELS + 2))
-    m = rows_with(docs, verdict=verdict, own=stratum(F.col("lang"), parameters.get("strata", STRATA)))
-    joined = m.join(F.broadcast(limits(docs, labels, **parameters)), F.col("own") == F.col("__stratum"), "left")
-    return rows_of(joined.where(F.col("verdict") < F.coalesce("__cutoff", F.lit(LEVELS + 1))), docs)
+    """The documents that the rules keep, with all their columns; they are stored with their verdicts in between."""
+    m = rows_with(docs, id=F.col("doc_id"), key=F.xxhash64("text"), stratum=stratum(F.col("lang"), parameters.get("strata", STRATA)), m=measures(F.col("text")))
+    measured = stored(m.select("row", "id", "key", "stratum", "m.base_failed", "m.cell"), "judged")
+    found = limits(measured.select(F.col("id").alias("doc_id"), "key", "stratum", "base_failed", "cell"), labels, **parameters)
+    joined = measured.where("NOT base_failed").join(F.broadcast(found), F.col("stratum") == F.col("__stratum"), "left")
+    return rows_of(joined.where(_kept()), docs)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +187,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_quality_rules": op1_quality_rules}
 
 _W = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_REACHED = " + ".join(f"({{b}} > 0 AND 20 * {{a}} >= {cut} * {{b}})::INT" for cut in CUTS)
 ORACLES = {
     "op1_quality_rules": rf"""
 WITH w AS (
@@ -186,7 +199,7 @@ WITH w AS (
 ), rep AS (
   SELECT r, count(DISTINCT i + d) AS n_repeat_words FROM (SELECT r, i, unnest([0, 1, 2]) AS d FROM win WHERE n > 1) GROUP BY r
 ), m AS (
-  SELECT w.r, doc_id, CASE WHEN lang IN ('en', 'fr', 'de', 'es') THEN lang ELSE 'other' END AS stratum, len(ws)::BIGINT AS n_words,
+  SELECT w.r, doc_id, text, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_lines, CASE WHEN lang IN ('en', 'fr', 'de', 'es') THEN lang ELSE 'other' END AS stratum, len(ws)::BIGINT AS n_words,
     coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
@@ -194,22 +207,29 @@ WITH w AS (
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
   FROM w LEFT JOIN rep ON w.r = rep.r
 ), s AS (
-  SELECT *, floor(least({LEVELS}, greatest(CASE WHEN n_words > 0 THEN {LEVELS} * n_symbols / n_words ELSE 0 END, CASE WHEN word_chars > 0 THEN {LEVELS} * n_upper / word_chars ELSE 0 END))) AS level FROM m
+  SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+    {_REACHED.format(a="n_symbols", b="n_words")} AS c0, {_REACHED.format(a="n_upper", b="word_chars")} AS c1, {_REACHED.format(a="n_dup_lines", b="n_lines")} AS c2, {_REACHED.format(a="n_repeat_words", b="n_words")} AS c3
+  FROM m
+), v AS (
+  SELECT a AS v0, b AS v1, c AS v2, d AS v3 FROM range({CHOICES}) x(a), range({CHOICES}) y(b), range({CHOICES}) z(c), range({CHOICES}) u(d)
+), l AS (
+  SELECT stratum, c0, c1, c2, c3, quality, count(*) AS n FROM (SELECT DISTINCT stratum, text, c0, c1, c2, c3, quality FROM s JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND NOT base_failed) GROUP BY ALL
+), o AS (
+  SELECT *, (c0 > v0 OR c1 > v1 OR c2 > v2 OR c3 > v3) AS bad_cell FROM l, v
 ), t AS (
-  SELECT stratum, cutoff, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 1 AND level >= cutoff) AS good_out,
-    count(*) FILTER (WHERE quality <> 1) AS bad, count(*) FILTER (WHERE quality <> 1 AND level >= cutoff) AS bad_out
-  FROM (SELECT stratum, level, quality, unnest(range(1, {LEVELS + 1})) AS cutoff FROM s JOIN labels USING (doc_id) WHERE quality IS NOT NULL) GROUP BY ALL
+  SELECT stratum, v0, v1, v2, v3, coalesce(sum(n) FILTER (WHERE quality = 1), 0) AS good, coalesce(sum(n) FILTER (WHERE quality = 1 AND bad_cell), 0) AS good_out,
+    coalesce(sum(n) FILTER (WHERE quality <> 1), 0) AS bad, coalesce(sum(n) FILTER (WHERE quality <> 1 AND bad_cell), 0) AS bad_out
+  FROM o GROUP BY ALL
 ), p AS (
-  SELECT *, (SELECT sum(exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({MAX_RISK}) + (good - i) * ln(1 - {MAX_RISK}))) FROM (SELECT unnest(range(0, good_out + 1)) AS i)) AS tail FROM t WHERE good > 0 AND bad > 0
+  SELECT *, (SELECT sum(exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({MAX_RISK}) + (good - i) * ln(1 - {MAX_RISK}))) FROM (SELECT unnest(range(0, good_out::BIGINT + 1)) AS i)) AS tail
+  FROM t WHERE good > 0 AND bad > 0 AND good_out <= good * {MAX_RISK}
 ), g AS (
-  SELECT stratum, cutoff, round(bad_out / bad - {COST} * good_out / good, 9) AS gain FROM p
-  WHERE good_out <= good * {MAX_RISK} AND tail <= {DELTA} / {(len(STRATA) + 1) * LEVELS}
+  SELECT *, round(bad_out / bad - {COST} * good_out / good, 9) AS gain FROM p WHERE tail <= {DELTA} / {(len(STRATA) + 1) * VECTORS}
 ), best AS (
-  SELECT stratum, arg_max(cutoff, gain * 1000 + cutoff / 1e6) AS cutoff FROM g WHERE gain > 0 GROUP BY stratum
+  SELECT stratum, v0, v1, v2, v3 FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, v0 + v1 + v2 + v3 DESC, v3 DESC, v2 DESC, v1 DESC, v0 DESC) AS place FROM g WHERE gain > 0) WHERE place = 1
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(level >= best.cutoff, false) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(c0 > v0 OR c1 > v1 OR c2 > v2 OR c3 > v3, false) AS kept
 FROM s LEFT JOIN best USING (stratum)
 """
 }
