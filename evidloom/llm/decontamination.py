@@ -8,8 +8,7 @@ its k least shingle hashes (bottom-k MinHash) with k = u // 5 + 1 for the larges
 partition. A contained item lacks at most a fifth of its shingles, so at least one value of its
 sketch is a hash of the document: no contained item is lost, however long the document. A document is
 searched in the partitions whose least item is short enough for its own number of shingles: it gives
-those of its hashes that are at most the greatest sketch value of these, and a hash that is met makes a
-candidate only of items that are short enough themselves.
+those of its hashes that are at most the greatest sketch value of these.
 
 Check. The documents of candidates are read again and the item's and the document's shingles are
 intersected as strings.
@@ -56,7 +55,7 @@ def shingles_of(text: Column) -> Column:
 
 
 def sketches(items: DataFrame) -> DataFrame:
-    """items (item_id, text) -> (item_id, item_key, n, largest, h): item_key tells texts of one id apart, n is the number of shingles, largest the size partition."""
+    """items (item_id, text) -> (item_id, item_key, n, largest, h): item_key tells texts of one id apart, n is the number of shingles, largest names the size partition."""
     sized = items.select("item_id", F.xxhash64("text").alias("item_key"), F.sort_array(hashes_of(F.col("text"))).alias("a")).where("a IS NOT NULL").distinct()
     largest = F.pow(F.lit(2), F.ceil(F.log2(F.size("a")))).cast("int")
     k = F.least(F.size("a"), F.floor(largest / 5).cast("int") + 1)
@@ -78,9 +77,9 @@ def candidates(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAS
         reach = F.greatest(F.lit(None).cast("long"), F.lit(None).cast("long"), *[F.when(_long_enough(F.size(a), F.lit(p["least"])), F.lit(p["most"]).cast("long")) for p in partitions])
         return let(reach, lambda most: F.filter(a, lambda h: h <= most))
 
-    probes = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), let(hashes_of(F.col("text")), lambda a: F.struct(F.size(a).alias("n_doc"), searched(a).alias("found"))).alias("s"))
-    probes = probes.select("doc_id", "doc_key", "s.n_doc", F.explode("s.found").alias("p"))
-    found = probes.join(small_side(sketch, broadcast_rows), (F.col("p") == F.col("h")) & _long_enough(F.col("n_doc"), F.col("n")))
+    # One expression under explode: a column would be made again for the test of emptiness that Spark adds to one.
+    probes = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), F.explode(let(hashes_of(F.col("text")), searched)).alias("p"))
+    found = probes.join(small_side(sketch, broadcast_rows), F.col("p") == F.col("h"))
     return found.select("doc_id", "doc_key", "item_id", "item_key").distinct()
 
 
