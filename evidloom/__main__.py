@@ -63,11 +63,12 @@ def run(a: argparse.Namespace) -> dict:
         return {"ok": not bad, "unreadable_sources": bad, "chunks": g.chunks.count(), "evidence": g.evidence.count(), "readiness": [r.asDict() for r in g.readiness.orderBy("template_name").collect()]}
     g = EvidenceGraph.load(spark, a.graph_dir)
     if a.verb == "validate-graph":
-        found = g.errors()
-        return {"ok": found.isEmpty(), "errors": [r.asDict() for r in found.limit(1000).collect()]}
+        found = g.errors().cache()
+        n = found.count()
+        return {"ok": not n, "n_errors": n, "errors": [r.asDict() for r in found.limit(1000).collect()]}
     kind = "query_id string, question string, mode string, depth string, token_budget string, result_limit string"
     rows = g.query(spark.createDataFrame([("q", a.question, "bfs", a.depth, a.token_budget, None)], kind)).collect()
-    return {"ok": bool(rows), "results": [r.asDict() for r in rows]}
+    return {"ok": any(r["nodes_found"] for r in rows), "results": [r.asDict() for r in rows]}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -87,6 +87,27 @@ def headings(text: Column) -> Column:
     return F.transform(lines, lambda x: F.regexp_extract(x, r"^\s{0,3}#{1,6}\s+(.+?)\s*$", 1))
 
 
+def _folds() -> tuple[str, str]:
+    """Letters below U+2000 whose decomposition is one character and marks, and those characters."""
+    import unicodedata
+
+    bare = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)) for c in range(0xC0, 0x2000)}
+    pairs = [(c, b) for c, b in bare.items() if len(b) == 1 and b != c]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+FOLDS = _folds()
+
+
+def folded(text: Column) -> Column:
+    """Lower case without diacritics, in the JVM: letters that decompose to one character and marks lose the marks; ligatures, which decompose to several, stay (values.without_marks takes them apart, in Python)."""
+    return F.lower(F.regexp_replace(F.translate(text, *FOLDS), r"[\x{0300}-\x{036F}]", ""))
+
+
+def folded_words(text: Column) -> Column:
+    return F.regexp_extract_all(folded(text), F.lit(r"(?U)\w+"), F.lit(0))
+
+
 def has_cjk(term: Column) -> Column:
     return term.rlike(r"[\x{4E00}-\x{9FFF}]")
 

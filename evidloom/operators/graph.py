@@ -18,8 +18,13 @@ HUB_FLOOR = 50
 EXACT, PREFIX, INNER, IN_SOURCE = 1000.0, 100.0, 1.0, 0.5
 SEEDS, GAP = 3, 0.2
 CHARS_PER_TOKEN = 3
-#: Optional parameters of a question: more terms, types of seeds, contexts of the edges shown.
-LISTS = ("include_terms", "target_node_types", "context_filter")
+#: Optional parameters of a question: more terms, terms left out, types of seeds, contexts of the edges shown.
+LISTS = ("include_terms", "exclude_terms", "target_node_types", "context_filter")
+#: Fixed texts of a result: without terms, without a match, and behind a text that has been cut.
+NO_TERMS, NO_MATCH = "No query terms found.", "No matching nodes found."
+CUT = ("\n... (truncated — ", " more nodes cut by ~", "-token budget. Narrow with context_filter or use get_node for a specific symbol)")
+#: The shortest line of a text, an edge without names, with its end.
+LEAST_LINE = 13
 
 
 def query_params(rows: DataFrame) -> DataFrame:
@@ -57,10 +62,10 @@ def hub_threshold(degree: DataFrame, floor: int = HUB_FLOOR) -> DataFrame:
 
 
 def idf(terms: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Terms (query_id, term) and nodes (id, label) -> term, df, idf = ln(1 + N / (1 + df)), df counting labels that contain the term. Terms of questions are few and go to the nodes."""
+    """Folded terms (query_id, term) and nodes (id, label) -> term, df, idf = ln(1 + N / (1 + df)), df counting folded labels that contain the term. Terms of questions are few and go to the nodes."""
     each = terms.select("term").distinct()
     n = nodes.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    held = nodes.select(F.lower(F.coalesce("label", F.lit(""))).alias("l")).join(F.broadcast(each), F.contains(F.col("l"), F.col("term")))
+    held = nodes.select(T.folded(F.coalesce("label", F.lit(""))).alias("l")).join(F.broadcast(each), F.contains(F.col("l"), F.col("term")))
     df = held.groupBy("term").agg(F.count("*").alias("df")).withColumnRenamed("term", "t")
     out = each.join(df, F.col("term") == F.col("t"), "left").join(F.broadcast(n))
     return out.select("term", F.coalesce("df", F.lit(0)).alias("df"), F.log(1 + F.col("n") / (1 + F.coalesce("df", F.lit(0)))).alias("idf"))
@@ -72,10 +77,11 @@ def _match(label: Column, term: Column) -> Column:
 
 
 def score_nodes(terms: DataFrame, nodes: DataFrame, weights: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """Terms (query_id, term), nodes (id, label, node_type, source_file) and idf() -> query_id, id, label, score > 0."""
+    """Folded terms (query_id, term; one that two words of a question fold to counts twice), nodes (id, label, node_type, source_file) and idf() -> query_id, id, label, score > 0."""
     wanted = nodes if types is None else nodes.where(F.col("node_type").isin(types))
-    weighted = terms.distinct().join(weights.select(F.col("term").alias("t"), "idf"), F.col("term") == F.col("t")).select("query_id", "term", "idf")
-    own = wanted.select("id", "label", F.lower(F.coalesce("label", "id")).alias("l"), F.lower(F.coalesce("source_file", F.lit(""))).alias("s"))
+    counted = terms.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    weighted = counted.join(weights.select(F.col("term").alias("t"), "idf"), F.col("term") == F.col("t")).select("query_id", "term", (F.col("idf") * F.col("times")).alias("idf"))
+    own = wanted.select("id", "label", T.folded(F.coalesce("label", "id")).alias("l"), F.lower(F.coalesce("source_file", F.lit(""))).alias("s"))
     hit = own.join(F.broadcast(weighted), F.contains(F.col("l"), F.col("term")) | F.contains(F.col("s"), F.col("term")))
     part = (_match(F.col("l"), F.col("term")) + F.when(F.contains(F.col("s"), F.col("term")), IN_SOURCE).otherwise(0.0)) * F.col("idf")
     return hit.groupBy("query_id", "id", "label").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
@@ -163,12 +169,12 @@ def _stack_walk(starts: DataFrame, edges: DataFrame, hubs: DataFrame, depth: int
 
 
 def question_terms(params: DataFrame) -> DataFrame:
-    """query_id, term: the terms of each question, and its include_terms, if any, whole or in words."""
-    each = params.select("query_id", F.explode(T.query_terms(F.col("question"))).alias("term"))
-    if "include_terms" in params.columns:
-        words = F.flatten(F.transform(F.array_compact("include_terms"), lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
-        each = each.unionByName(params.select("query_id", F.explode(words).alias("term")))
-    return each.distinct()
+    """query_id, term: the terms of each question and its include_terms, each once but for exclude_terms, then folded and cut into words."""
+    terms = T.query_terms(F.col("question"))
+    own = F.array_compact(F.coalesce("include_terms", F.array().cast("array<string>"))) if "include_terms" in params.columns else F.array().cast("array<string>")
+    left_out = F.array_compact(F.coalesce("exclude_terms", F.array().cast("array<string>"))) if "exclude_terms" in params.columns else F.array().cast("array<string>")
+    every = F.array_except(F.array_union(terms, own), left_out)
+    return params.select("query_id", F.explode(F.flatten(F.transform(every, T.folded_words))).alias("term"))
 
 
 def _wanted(params: DataFrame, name: str) -> DataFrame:
@@ -177,7 +183,7 @@ def _wanted(params: DataFrame, name: str) -> DataFrame:
 
 
 def queried(params: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Normalised parameters over nodes and edges -> rendered(): terms, seeds of the types asked for, each question's own walk and depth, edges of its contexts."""
+    """Normalised parameters over nodes and edges -> a row for each question: query_id, question, mode, depth, nodes_found, edges_found, text, seeds. Terms, seeds of the types asked for, each question's own walk and depth, edges of its contexts. Without a term or a match the text says so."""
     params = cut(params)
     terms = question_terms(params)
     scored = score_nodes(terms, nodes, idf(terms, nodes))
@@ -202,7 +208,14 @@ def queried(params: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         data = edge_data(tree.select("u", "v").distinct(), edges).select(F.col("u").alias("cu"), F.col("v").alias("cv"), "context")
         named = tree.join(data, (F.col("u") == F.col("cu")) & (F.col("v") == F.col("cv"))).join(_wanted(params, "context_filter"), F.col("query_id") == F.col("wq"))
         tree = named.where("list IS NULL OR array_contains(list, context)").select("query_id", "u", "v", "ord")
-    return rendered(visited, tree, nodes, edges, degree, params)
+    found = rendered(visited, tree, nodes, edges, degree, params, starts).withColumnRenamed("query_id", "found_id")
+    asked_terms = terms.select(F.col("query_id").alias("tq")).distinct()
+    places = F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda x: x["node"])
+    seeds_of = starts.groupBy(F.col("query_id").alias("sq")).agg(places.alias("seeds"))
+    out = params.join(found, F.col("query_id") == F.col("found_id"), "left").join(seeds_of, F.col("query_id") == F.col("sq"), "left").join(asked_terms, F.col("query_id") == F.col("tq"), "left")
+    text = F.coalesce("text", F.when(F.col("tq").isNull(), NO_TERMS).otherwise(NO_MATCH))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("query_id", "question", "mode", "depth", zero("nodes_found"), zero("edges_found"), text.alias("text"), F.coalesce("seeds", F.array().cast("array<string>")).alias("seeds"))
 
 
 def edge_data(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -216,33 +229,53 @@ def edge_data(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def first_edge(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs (u, v) with the data of their first edge in either direction (JN-06)."""
-    first = edges.groupBy(F.least("source", "target").alias("lo"), F.greatest("source", "target").alias("hi")).agg(F.min(F.struct("ord", "relation", "context")).alias("e"))
+    """Pairs (u, v) with the data of their first edge in either direction: relation, context and, where edges have it, confidence (JN-06)."""
+    data = ["relation", "context", *[c for c in ("confidence",) if c in edges.columns]]
+    first = edges.groupBy(F.least("source", "target").alias("lo"), F.greatest("source", "target").alias("hi")).agg(F.min(F.struct("ord", *data)).alias("e"))
     on = (F.least("u", "v") == F.col("lo")) & (F.greatest("u", "v") == F.col("hi"))
-    return pairs.join(first, on, "left").select("u", "v", F.col("e.relation").alias("relation"), F.col("e.context").alias("context"))
+    return pairs.join(first, on, "left").select("u", "v", *[F.col(f"e.{c}").alias(c) for c in data])
 
 
-def rendered(visited: DataFrame, tree: DataFrame, nodes: DataFrame, edges: DataFrame, degree: DataFrame, params: DataFrame) -> DataFrame:
-    """query_id, nodes_found, edges_found, text: seeds, then other nodes by degree, then edges between visited nodes; lines up to 3 characters a token of the budget, whole lines only."""
-    labels = nodes.select(F.col("id").alias("i"), F.coalesce("label", "id").alias("label"), "node_type")
-    place = visited.join(labels, F.col("node") == F.col("i"), "left").join(degree.withColumnRenamed("node", "d"), F.col("node") == F.col("d"), "left")
+def rendered(visited: DataFrame, tree: DataFrame, nodes: DataFrame, edges: DataFrame, degree: DataFrame, params: DataFrame, starts: DataFrame) -> DataFrame:
+    """query_id, nodes_found, edges_found, text: seeds by place, then other nodes by degree, then edges between visited nodes; lines up to 3 characters a token of the budget, cut at a line's end, with a note of the nodes that were cut.
+
+    Lines are numbered before they are summed, so each task hands on no more of a question's lines than any budget holds.
+    """
+    own = lambda d, c: F.coalesce(c, F.lit("")) if c in d.columns else F.lit("")
+    labels = nodes.select(F.col("id").alias("i"), F.coalesce("label", "id").alias("label"), own(nodes, "node_type").alias("node_type"), own(nodes, "source_file").alias("source_file"), own(nodes, "source_location").alias("source_location"))
+    first = starts.select(F.col("query_id").alias("sq"), F.col("node").alias("sn"), F.col("place").cast("long").alias("place"))
+    place = visited.join(labels, F.col("node") == F.col("i"), "left").join(degree.withColumnRenamed("node", "d"), F.col("node") == F.col("d"), "left").join(F.broadcast(first), (F.col("query_id") == F.col("sq")) & (F.col("node") == F.col("sn")), "left")
+    seed = F.col("place").isNotNull()
     node_lines = place.select(
-        "query_id", F.struct(F.lit(0).alias("a"), F.when(F.col("level") == 0, 0).otherwise(1).alias("b"), (-F.coalesce("degree", F.lit(0))).alias("c"), F.col("node").alias("d"), F.lit("").alias("e"), F.lit(0).cast("long").alias("f")).alias("o"),
-        F.concat_ws(" ", F.lit("NODE"), F.coalesce("label", "node"), F.concat(F.lit("["), F.coalesce("node_type", F.lit("")), F.lit("]"))).alias("line"),
+        "query_id", F.struct(F.lit(0).alias("a"), F.when(seed, 0).otherwise(1).alias("b"), F.when(seed, F.col("place")).otherwise(-F.coalesce("degree", F.lit(0))).alias("c"), F.col("node").alias("d"), F.lit("").alias("e"), F.lit(0).cast("long").alias("f")).alias("o"),
+        F.concat(F.lit("NODE "), F.coalesce("label", "node"), F.lit(" [src="), F.coalesce("source_file", F.lit("")), F.lit(" loc="), F.coalesce("source_location", F.lit("")), F.lit(" type="), F.coalesce("node_type", F.lit("")), F.lit("]")).alias("line"),
     )
     seen = lambda c: visited.select(F.col("query_id").alias(f"q{c}"), F.col("node").alias(f"n{c}"))
     a, b = seen("1"), seen("2")
     inside = tree.join(a, (F.col("query_id") == F.col("q1")) & (F.col("u") == F.col("n1")), "left_semi").join(b, (F.col("query_id") == F.col("q2")) & (F.col("v") == F.col("n2")), "left_semi")
-    data = first_edge(inside.select("u", "v").distinct(), edges).select(F.col("u").alias("eu"), F.col("v").alias("ev"), "relation")
-    named = inside.join(data, (F.col("u") == F.col("eu")) & (F.col("v") == F.col("ev")))
+    data = first_edge(inside.select("u", "v").distinct(), edges)
+    data = data.select(F.col("u").alias("eu"), F.col("v").alias("ev"), own(data, "relation").alias("relation"), own(data, "confidence").alias("confidence"), own(data, "context").alias("context"))
+    names = lambda c: labels.select(F.col("i").alias(f"{c}i"), F.col("label").alias(f"{c}l"))
+    named = inside.join(data, (F.col("u") == F.col("eu")) & (F.col("v") == F.col("ev"))).join(names("u"), F.col("u") == F.col("ui"), "left").join(names("v"), F.col("v") == F.col("vi"), "left")
     edge_lines = named.select(
         "query_id", F.struct(F.lit(1).alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("c"), F.col("u").alias("d"), F.col("v").alias("e"), F.col("ord").alias("f")).alias("o"),
-        F.concat(F.lit("EDGE "), "u", F.lit(" --"), F.coalesce("relation", F.lit("")), F.lit("--> "), "v").alias("line"),
+        F.concat(F.lit("EDGE "), F.coalesce("ul", "u"), F.lit(" --"), "relation", F.when(F.col("confidence") != "", F.concat(F.lit(" ["), "confidence", F.lit("]"))).otherwise(""), F.when(F.col("context") != "", F.concat(F.lit(" context="), "context")).otherwise(""), F.lit("--> "), F.coalesce("vl", "v")).alias("line"),
     )
-    order = Window.partitionBy("query_id").orderBy("o", "line").rowsBetween(Window.unboundedPreceding, 0)
-    budget = params.select(F.col("query_id").alias("pq"), "token_budget")
-    fitting = node_lines.unionByName(edge_lines).withColumn("upto", F.sum(F.char_length("line") + 1).over(order)).join(F.broadcast(budget), F.col("query_id") == F.col("pq")).where(F.col("upto") - 1 <= CHARS_PER_TOKEN * F.col("token_budget"))
-    text = fitting.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    lines = cut(node_lines.unionByName(edge_lines))
+    room = params.select(F.col("query_id").alias("pq"), "token_budget", (CHARS_PER_TOKEN * F.col("token_budget")).alias("room"))
+    most = CHARS_PER_TOKEN * (params.agg(F.max("token_budget").alias("b")).first()["b"] or 0) // LEAST_LINE + 2
+    sizes = lines.groupBy(F.col("query_id").alias("zq")).agg(F.sum(F.char_length("line") + 1).alias("size"), F.count_if(F.col("o.a") == 0).alias("n_nodes"))
+    order = Window.partitionBy("query_id").orderBy("o", "line")
+    ahead = lines.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    summed = ahead.withColumn("upto", F.sum(F.char_length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    fitting = summed.join(F.broadcast(room), F.col("query_id") == F.col("pq")).join(sizes, F.col("query_id") == F.col("zq"))
+    over = F.col("size") - 1 > F.col("room")
+    # Of a first line that is longer than the budget, its start.
+    kept = fitting.where(~over | (F.col("upto") <= F.col("room")) | (F.col("n") == 1)).withColumn("line", F.when(over, F.substring("line", F.lit(1), F.col("room").cast("int"))).otherwise(F.col("line")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    text = kept.groupBy("query_id").agg(joined.alias("shown"), F.count_if(F.col("o.a") == 0).alias("n_shown"), F.any_value("n_nodes").alias("n_nodes"), F.any_value("token_budget").alias("token_budget"), F.bool_or(over).alias("over"))
+    note = F.concat(F.lit(CUT[0]), (F.col("n_nodes") - F.col("n_shown")).cast("string"), F.lit(CUT[1]), F.col("token_budget").cast("string"), F.lit(CUT[2]))
+    text = text.select("query_id", F.concat("shown", F.when(F.col("over"), note).otherwise("")).alias("text"))
     counts = visited.groupBy(F.col("query_id").alias("vq")).agg(F.count("*").alias("nodes_found"))
     edge_count = tree.groupBy(F.col("query_id").alias("tq")).agg(F.count("*").alias("edges_found"))
     out = counts.join(edge_count, F.col("vq") == F.col("tq"), "left").join(text, F.col("vq") == F.col("query_id"), "left")

@@ -55,7 +55,7 @@ class EvidenceGraph:
         return found.unionByName(V.dangling(edge_ends, ends, "edge", "dangling_end"))
 
     def query(self, params: DataFrame) -> DataFrame:
-        """Raw parameters, see graph.query_params -> query_id, nodes_found, edges_found, text. Questions without a searchable term or a match give no row."""
+        """Raw parameters, see graph.query_params -> query_id, question, mode, depth, nodes_found, edges_found, text, seeds: a row for each question."""
         p = G.query_params(params)
         nodes = self.nodes.select(F.col("node_id").alias("id"), "label", "node_type", F.lit(None).cast("string").alias("source_file")).distinct()
         events = self.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("label"), F.lit("event").alias("node_type"), F.lit(None).cast("string").alias("source_file")).distinct()

@@ -11,8 +11,20 @@ from evidloom.functions import text as T
 from evidloom.operators import graph as G
 from evidloom.plans.text_queries import table
 
-#: Questions asked of the graph, with the depth of their walk.
-QUESTIONS = (("q1", "Which customers live in FRANCE or Customer#000000007?"), ("q2", "supplier EUROPE nation"), ("q3", "zz"), ("q4", "Supplier#000000003 and its parts"))
+#: Questions asked of the graph: id, text, raw mode, depth, budget and limit, terms more and less, types of seeds, contexts.
+ASKED = (
+    ("q1", "Which customers live in FRANCE or Customer#000000007?", "bfs", "2", "300", "7", None, None, None, None),
+    ("q2", "supplier EUROPE nation", "DFS", "9", "5", "-1", None, None, None, None),
+    ("q3", "zz", None, None, None, None, None, None, None, None),
+    ("q4", "Supplier#000000003 and its parts", "x", "0", "x", "0", None, None, None, None),
+    ("q5", "Where in G\u00e9rmany and gErM\u00c1ny is a supplier?", "bfs", "3", "900", None, ["N\u00e0tion", "asia"], ["supplier", "where"], ["nation", "region"], ["place", "person"]),
+    ("q6", "", "bfs", "1", "100", None, None, [], [], None),
+    ("q7", "xylophone quagmire", "bfs", "1", "100", None, None, None, None, None),
+    ("q8", "customer#000000011", "bfs", "2", "4000", None, None, None, ["customer"], ["person"]),
+)
+QUESTIONS = tuple((q, text) for q, text, *_ in ASKED)
+#: Questions walked breadth-first; the stack walk has no SQL.
+BREADTH = tuple(a for a in ASKED if a[0] != "q2")
 KINDS = (("region", "r"), ("nation", "n"), ("customer", "c"), ("supplier", "s"), ("part", "p"))
 
 
@@ -41,17 +53,23 @@ def edges(spark, sf_dir) -> DataFrame:
     )
 
 
-def _params(spark) -> DataFrame:
-    rows = [(q, text, m, d, b, limit) for (q, text), m, d, b, limit in zip(QUESTIONS, ("bfs", "DFS", None, "x"), ("2", "9", None, "0"), ("300", "5", None, "x"), ("7", "-1", None, "0"), strict=True)]
-    return spark.createDataFrame(rows, "query_id string, question string, mode string, depth string, token_budget string, result_limit string")
+def _params(spark, asked=ASKED) -> DataFrame:
+    lists = ", ".join(f"{c} array<string>" for c in G.LISTS)
+    return spark.createDataFrame(list(asked), f"query_id string, question string, mode string, depth string, token_budget string, result_limit string, {lists}")
 
 
 def _terms(spark) -> DataFrame:
-    return G.query_params(_params(spark)).select("query_id", F.explode(T.query_terms(F.col("question"))).alias("term"))
+    return G.question_terms(G.query_params(_params(spark)))
 
 
 def fn_11_query_params(spark, sf_dir):
-    return G.query_params(_params(spark))
+    p = G.query_params(_params(spark))
+    return p.select(*[c for c in p.columns if c not in G.LISTS], *[F.array_join(c, ",").alias(c) for c in G.LISTS])
+
+
+def fn_09_question_terms(spark, sf_dir):
+    """Terms of questions, more and less of them, folded (FN-05, FN-06, FN-09)."""
+    return _terms(spark).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
 def gr_01_adjacency(spark, sf_dir):
@@ -133,11 +151,18 @@ def jn_06_first_edge(spark, sf_dir):
 
 
 def gr_08_query_graph(spark, sf_dir):
-    """Whole queries: terms, scores, seeds, each question's own walk and depth, text (GR-07, GR-08, TOP-06)."""
-    return G.queried(G.query_params(_params(spark)), nodes(spark, sf_dir), edges(spark, sf_dir))
+    """Whole queries: terms, scores, seeds by type, each question's own walk and depth, contexts, text, early ends (GR-07, GR-08, TOP-06)."""
+    out = G.queried(G.query_params(_params(spark, BREADTH)), nodes(spark, sf_dir), edges(spark, sf_dir))
+    return out.withColumn("seeds", F.array_join("seeds", ","))
+
 
+def gr_08_query_graph_depth_first(spark, sf_dir):
+    """The question that is walked depth-first."""
+    out = G.queried(G.query_params(_params(spark, [a for a in ASKED if a not in BREADTH])), nodes(spark, sf_dir), edges(spark, sf_dir))
+    return out.withColumn("seeds", F.array_join("seeds", ","))
 
-QUERIES = {f.__name__: f for f in (fn_11_query_params, gr_01_adjacency, agg_03_degrees, gr_02_hub_threshold, agg_01_idf, gr_03_scores, top_02_seeds, gr_04_bfs, gr_04_bfs_edges, gr_06_bfs_in_context, gr_05_dfs, jn_05_last_edge, jn_06_first_edge, gr_08_query_graph)}
+
+QUERIES = {f.__name__: f for f in (fn_11_query_params, fn_09_question_terms, gr_08_query_graph_depth_first, gr_01_adjacency, agg_03_degrees, gr_02_hub_threshold, agg_01_idf, gr_03_scores, top_02_seeds, gr_04_bfs, gr_04_bfs_edges, gr_06_bfs_in_context, gr_05_dfs, jn_05_last_edge, jn_06_first_edge, gr_08_query_graph)}
 
 _NODES = """nodes AS (SELECT 'region:' || r_regionkey AS id, r_name AS label, 'region' AS node_type, 'region.parquet' AS source_file FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'nation', 'nation.parquet' FROM nation
 UNION ALL SELECT 'customer:' || c_custkey, c_name, 'customer', 'customer.parquet' FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'supplier', 'supplier.parquet' FROM supplier UNION ALL SELECT 'part:' || p_partkey, p_name, 'part', 'part.parquet' FROM part)"""
@@ -146,45 +171,65 @@ UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'lives_in',
 UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'supplies', 'trade', l_suppkey * 10000000 + l_partkey + 3000000000 FROM lineitem),
 adj AS (SELECT source AS u, target AS v, ord, context FROM edges UNION ALL SELECT target, source, ord, context FROM edges), deg AS (SELECT u AS node, count(*)::BIGINT AS degree FROM adj GROUP BY u),
 thr AS (SELECT greatest(50, coalesce(list_sort(list(degree))[floor(count(*) * 0.99)::BIGINT + 1], 0))::BIGINT AS threshold FROM deg), hubs AS (SELECT node FROM deg, thr WHERE degree >= threshold)"""
-_Q = "qs(query_id, question) AS (VALUES " + ", ".join(f"('{q}', '{t}')" for q, t in QUESTIONS) + ")"
-_TERMS = _Q + r""", terms AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '[\p{L}\p{N}_]+')) AS term FROM qs) WHERE NOT (regexp_matches(term, '^[A-Za-z]*$') AND length(term) <= 2))"""
-_IDF = f"""{_TERMS}, {_NODES}, idf AS (SELECT term, count(id)::BIGINT AS df, ln(1 + (SELECT greatest(count(*), 1) FROM nodes) / (1 + count(id))) AS idf FROM (SELECT DISTINCT term FROM terms) LEFT JOIN nodes ON contains(lower(coalesce(label, '')), term) GROUP BY term)"""
-_SCORED = f"""{_IDF}, part AS (SELECT query_id, id, label, idf, lower(coalesce(label, id)) AS l, regexp_replace(lower(coalesce(label, id)), '[()]+$', '') AS b, lower(source_file) AS s, term FROM terms JOIN idf USING (term), nodes),
-scored AS (SELECT query_id, id, label, round(sum(idf * (CASE WHEN l = term OR b = term THEN {G.EXACT} WHEN starts_with(l, term) OR starts_with(b, term) THEN {G.PREFIX} WHEN contains(l, term) THEN {G.INNER} ELSE 0 END + CASE WHEN contains(s, term) THEN {G.IN_SOURCE} ELSE 0 END)), 6) AS score FROM part GROUP BY ALL HAVING score > 0),
-seeds AS (SELECT query_id, id, place FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(coalesce(label, id)), id)::BIGINT AS place FROM scored) WHERE score >= {G.GAP} * top AND place <= {G.SEEDS})"""
-
-
-def _walk(depth: int, context: str = "") -> str:
-    """Levels unrolled as tables l0, l1, ...; t1, t2, ... are their tree edges."""
-    out = [f"{_SCORED}, {_EDGES}, l0 AS (SELECT query_id, id AS node, 0 AS level FROM seeds), v0 AS (SELECT * FROM l0)"]
+def _sql_list(values) -> str:
+    return "NULL::VARCHAR[]" if values is None else "[" + ", ".join(f"'{v}'" for v in values) + "]::VARCHAR[]"
+
+
+#: What each question's parameters come to.
+_NORMAL = {"q1": ("bfs", 2, 300, 7), "q2": ("dfs", 6, 100, None), "q3": ("bfs", 3, 2000, None), "q4": ("bfs", 1, 2000, None), "q5": ("bfs", 3, 900, None), "q6": ("bfs", 1, 100, None), "q7": ("bfs", 1, 100, None), "q8": ("bfs", 2, 4000, None)}
+_Q = "qs(query_id, question, mode, depth, b, result_limit, inc, exc, types, ctx) AS (VALUES " + ", ".join(
+    "('{}', '{}', '{}', {}, {}, {}, {}, {}, {}, {})".format(q, text, *["NULL" if x is None else x for x in _NORMAL[q]], *map(_sql_list, lists)) for q, text, _, _, _, _, *lists in ASKED
+) + ")"
+_TERMS = _Q + r""", raw_terms AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '[\p{L}\p{N}_]+')) AS term FROM qs) WHERE NOT (regexp_matches(term, '^[A-Za-z]*$') AND length(term) <= 2)
+UNION SELECT query_id, unnest(inc) FROM qs),
+terms AS (SELECT query_id, unnest(regexp_extract_all(lower(strip_accents(term)), '[\p{L}\p{N}_]+')) AS term FROM raw_terms JOIN qs USING (query_id) WHERE NOT coalesce(list_contains(exc, term), false))"""
+_FOLDED = "lower(strip_accents({}))"
+_IDF = f"""{_TERMS}, {_NODES}, idf AS (SELECT term, count(id)::BIGINT AS df, ln(1 + (SELECT greatest(count(*), 1) FROM nodes) / (1 + count(id))) AS idf FROM (SELECT DISTINCT term FROM terms) LEFT JOIN nodes ON contains({_FOLDED.format("coalesce(label, '')")}, term) GROUP BY term)"""
+_LABEL = _FOLDED.format("coalesce(label, id)")
+_SCORED = f"""{_IDF}, part AS (SELECT query_id, id, label, node_type, idf, {_LABEL} AS l, regexp_replace({_LABEL}, '[()]+$', '') AS b, lower(source_file) AS s, term FROM terms JOIN idf USING (term), nodes),
+scored AS (SELECT query_id, id, label, node_type, round(sum(idf * (CASE WHEN l = term OR b = term THEN {G.EXACT} WHEN starts_with(l, term) OR starts_with(b, term) THEN {G.PREFIX} WHEN contains(l, term) THEN {G.INNER} ELSE 0 END + CASE WHEN contains(s, term) THEN {G.IN_SOURCE} ELSE 0 END)), 6) AS score FROM part GROUP BY ALL HAVING score > 0),
+typed AS (SELECT scored.* FROM scored JOIN qs USING (query_id) WHERE coalesce(len(types), 0) = 0 OR list_contains(types, node_type)),
+seeds_of AS (SELECT query_id, id, place FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(coalesce(label, id)), id)::BIGINT AS place FROM %s) WHERE score >= {G.GAP} * top AND place <= {G.SEEDS}), seeds AS (SELECT * FROM seeds_of)"""
+
+
+def _walk(depth: int, context: str = "", own: bool = False) -> str:
+    """Levels unrolled as tables l0, l1, ...; t1, t2, ... are their tree edges. own: each question's types and depth."""
+    out = [f"{_SCORED % ('typed' if own else 'scored')}, {_EDGES}, l0 AS (SELECT query_id, id AS node, 0 AS level FROM seeds), v0 AS (SELECT * FROM l0)"]
     for i in range(1, depth + 1):
         leave = "" if i == 1 else " AND u NOT IN (SELECT node FROM hubs)"
         out.append(
-            f"t{i} AS (SELECT query_id, u, v, ord FROM l{i - 1} JOIN adj ON node = u WHERE TRUE{leave}{context} AND (query_id, v) NOT IN (SELECT (query_id, node) FROM v{i - 1})), "
+            f"t{i} AS (SELECT query_id, u, v, ord FROM l{i - 1} JOIN adj ON node = u{' JOIN qs USING (query_id)' if own else ''} WHERE {f'qs.depth >= {i}' if own else 'TRUE'}{leave}{context} AND (query_id, v) NOT IN (SELECT (query_id, node) FROM v{i - 1})), "
             f"l{i} AS (SELECT DISTINCT query_id, v AS node, {i} AS level FROM t{i}), v{i} AS (SELECT * FROM v{i - 1} UNION ALL SELECT * FROM l{i})"
         )
     return "WITH " + ", ".join(out)
 
 
-_RENDERED = f"""{_walk(2)}, tree AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2), budget(query_id, b) AS (VALUES ('q1', 300), ('q2', 100), ('q3', 2000), ('q4', 2000)),
-fe AS (SELECT least(source, target) AS lo, greatest(source, target) AS hi, arg_min(relation, ord) AS relation FROM edges GROUP BY ALL),
-lines AS (SELECT query_id, 0 AS a, CASE WHEN level = 0 THEN 0 ELSE 1 END AS b, -coalesce(degree, 0) AS c, v2.node AS d, '' AS e, 0 AS f, 'NODE ' || coalesce(label, v2.node) || ' [' || coalesce(node_type, '') || ']' AS line FROM v2 LEFT JOIN nodes ON v2.node = nodes.id LEFT JOIN deg ON deg.node = v2.node
-UNION ALL SELECT query_id, 1, 0, 0, u, v, ord, 'EDGE ' || u || ' --' || relation || '--> ' || v FROM tree JOIN fe ON least(u, v) = lo AND greatest(u, v) = hi),
-upto AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY query_id ORDER BY a, b, c, d, e, f, line ROWS UNBOUNDED PRECEDING) AS upto FROM lines),
-texts AS (SELECT query_id, string_agg(line, chr(10) ORDER BY a, upto.b, c, d, e, f, line) AS text FROM upto JOIN budget USING (query_id) WHERE upto - 1 <= {G.CHARS_PER_TOKEN} * budget.b GROUP BY query_id),
-n AS (SELECT query_id, count(*)::BIGINT AS nodes_found FROM v2 GROUP BY 1), m AS (SELECT query_id, count(*)::BIGINT AS edges_found FROM tree GROUP BY 1)
-SELECT query_id, nodes_found, coalesce(edges_found, 0)::BIGINT AS edges_found, coalesce(text, '') AS text FROM n LEFT JOIN m USING (query_id) LEFT JOIN texts USING (query_id)"""
+_NOTE = f"'{G.CUT[0].lstrip()}' || (n_nodes - n_shown) || '{G.CUT[1]}' || texts.b || '{G.CUT[2]}'"
+_RENDERED = f"""{_walk(3, own=True)}, every AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3),
+le AS (SELECT source, target, arg_max(context, ord) AS context FROM edges GROUP BY ALL),
+tree AS (SELECT query_id, u, v, ord FROM (SELECT e.*, qs.ctx, coalesce(x.context, y.context) AS context FROM every e JOIN qs USING (query_id) LEFT JOIN le x ON u = x.source AND v = x.target LEFT JOIN le y ON u = y.target AND v = y.source) WHERE coalesce(len(ctx), 0) = 0 OR list_contains(ctx, context)),
+fe AS (SELECT least(source, target) AS lo, greatest(source, target) AS hi, arg_min(relation, ord) AS relation, arg_min(context, ord) AS context FROM edges GROUP BY ALL),
+lines AS (SELECT v3.query_id, 0 AS a, CASE WHEN place IS NOT NULL THEN 0 ELSE 1 END AS bb, CASE WHEN place IS NOT NULL THEN place ELSE -coalesce(degree, 0) END AS c, v3.node AS d, '' AS e, 0 AS f, 'NODE ' || coalesce(label, v3.node) || ' [src=' || coalesce(source_file, '') || ' loc= type=' || coalesce(node_type, '') || ']' AS line
+  FROM v3 LEFT JOIN nodes ON v3.node = nodes.id LEFT JOIN deg ON deg.node = v3.node LEFT JOIN seeds s ON s.query_id = v3.query_id AND s.id = v3.node
+UNION ALL SELECT t.query_id, 1, 0, 0, u, v, ord, 'EDGE ' || coalesce(nu.label, u) || ' --' || relation || ' context=' || context || '--> ' || coalesce(nv.label, v) FROM tree t JOIN fe ON least(u, v) = lo AND greatest(u, v) = hi LEFT JOIN nodes nu ON nu.id = u LEFT JOIN nodes nv ON nv.id = v),
+upto AS (SELECT *, sum(length(line) + 1) OVER w AS upto, row_number() OVER w AS n, sum(length(line) + 1) OVER (PARTITION BY query_id) AS size, count(*) FILTER (WHERE a = 0) OVER (PARTITION BY query_id) AS n_nodes FROM lines WINDOW w AS (PARTITION BY query_id ORDER BY a, bb, c, d, e, f, line ROWS UNBOUNDED PRECEDING)),
+kept AS (SELECT upto.*, qs.b, size - 1 > {G.CHARS_PER_TOKEN} * qs.b AS over FROM upto JOIN qs USING (query_id) WHERE size - 1 <= {G.CHARS_PER_TOKEN} * qs.b OR upto <= {G.CHARS_PER_TOKEN} * qs.b OR n = 1),
+texts AS (SELECT query_id, string_agg(CASE WHEN over THEN left(line, {G.CHARS_PER_TOKEN} * b) ELSE line END, chr(10) ORDER BY n) AS text, count(*) FILTER (WHERE a = 0) AS n_shown, any_value(n_nodes) AS n_nodes, any_value(b) AS b, bool_or(over) AS over FROM kept GROUP BY query_id),
+n AS (SELECT query_id, count(*)::BIGINT AS nodes_found FROM v3 GROUP BY 1), m AS (SELECT query_id, count(*)::BIGINT AS edges_found FROM tree GROUP BY 1), so AS (SELECT query_id, string_agg(id, ',' ORDER BY place) AS seeds FROM seeds GROUP BY 1)
+SELECT query_id, question, mode, depth::BIGINT AS depth, coalesce(nodes_found, 0)::BIGINT AS nodes_found, coalesce(edges_found, 0)::BIGINT AS edges_found,
+  coalesce(text || CASE WHEN over THEN chr(10) || {_NOTE} ELSE '' END, CASE WHEN query_id IN (SELECT query_id FROM terms) THEN '{G.NO_MATCH}' ELSE '{G.NO_TERMS}' END) AS text, coalesce(seeds, '') AS seeds
+FROM qs LEFT JOIN n USING (query_id) LEFT JOIN m USING (query_id) LEFT JOIN texts USING (query_id) LEFT JOIN so USING (query_id) WHERE mode = 'bfs'"""
 _MULTI = """e AS (SELECT 'c' || (o_custkey % 40) AS source, 'c' || (o_custkey % 31) AS target, 'r' || (o_orderkey % 7) AS relation, 'k' || (o_orderkey % 3) AS context, o_orderkey AS ord FROM orders), p AS (SELECT DISTINCT target AS u, source AS v FROM e)"""
 ORACLES = {
     "gr_08_query_graph": _RENDERED,
-    "fn_11_query_params": f"""WITH {_Q}, raw AS (SELECT * FROM qs JOIN (VALUES ('q1', 'bfs', 2, 300, 7), ('q2', 'dfs', 6, 100, NULL), ('q3', 'bfs', 3, 2000, NULL), ('q4', 'bfs', 1, 2000, NULL)) AS x(query_id, mode, depth, token_budget, result_limit) USING (query_id))
-SELECT query_id, question, mode, depth::BIGINT AS depth, token_budget::BIGINT AS token_budget, result_limit::BIGINT AS result_limit FROM raw""",
+    "fn_11_query_params": f"WITH {_Q} SELECT query_id, question, mode, depth::BIGINT AS depth, b::BIGINT AS token_budget, result_limit::BIGINT AS result_limit, array_to_string(inc, ',') AS include_terms, array_to_string(exc, ',') AS exclude_terms, array_to_string(types, ',') AS target_node_types, array_to_string(ctx, ',') AS context_filter FROM qs",
+    "fn_09_question_terms": f"WITH {_TERMS} SELECT query_id, term, count(*)::BIGINT AS times FROM terms GROUP BY ALL",
     "gr_01_adjacency": f"WITH {_EDGES} SELECT u, count(*)::BIGINT AS entries, count(DISTINCT v)::BIGINT AS neighbours, min(ord)::BIGINT AS first_ord FROM adj GROUP BY u",
     "agg_03_degrees": f"WITH {_EDGES} SELECT * FROM deg",
     "gr_02_hub_threshold": f"WITH {_EDGES} SELECT * FROM thr",
     "agg_01_idf": f"WITH {_IDF} SELECT term, df, round(idf, 6) AS idf FROM idf",
-    "gr_03_scores": f"WITH {_SCORED} SELECT query_id, id, label, round(score, 3) AS score FROM scored",
-    "top_02_seeds": f"WITH {_SCORED} SELECT * FROM seeds",
+    "gr_03_scores": f"WITH {_SCORED % 'scored'} SELECT query_id, id, label, round(score, 3) AS score FROM scored",
+    "top_02_seeds": f"WITH {_SCORED % 'scored'} SELECT * FROM seeds",
     "gr_04_bfs": f"{_walk(3)} SELECT query_id, node, level::BIGINT AS level FROM v3",
     "gr_04_bfs_edges": f"{_walk(2)} SELECT query_id, u, v, ord::BIGINT AS ord FROM t1 UNION ALL SELECT query_id, u, v, ord FROM t2",
     "gr_06_bfs_in_context": _walk(3, " AND context IN ('place', 'person')") + " SELECT query_id, node, level::BIGINT AS level FROM v3",

@@ -153,7 +153,7 @@ UNION ALL SELECT 'packet', 'p' || doc_id, 'packet_hint_differs' FROM documents W
     "val_26_queue_errors": " UNION ALL ".join(f"SELECT 'queue' AS scope, c_custkey::VARCHAR AS item_id, '{c}' AS code FROM customer WHERE {w}" for c, w in (("queue_not_ready", "c_custkey % 4 = 0"), ("queue_without_bundles", "c_custkey % 7 = 0"), ("queue_duplicate_bundle", "c_custkey % 5 = 0 AND c_custkey % 7 <> 0"), ("queue_drops_lane", "c_custkey % 3 = 0"))),
     "mrg_02_canonical_items": """WITH x AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN c_name WHEN c_custkey % 5 <> 0 THEN 'label' END AS name, c_custkey % 7 <> 0 AS typed FROM customer)
 SELECT k AS item_no, CASE WHEN k % 4 = 0 THEN 'given' || k WHEN typed AND name IS NOT NULL THEN 'node:person:' || substr(sha256('world|' || name || '|person'), 1, 16) END AS id, CASE WHEN k % 4 <> 0 AND (NOT typed OR name IS NULL) THEN 'node_missing_stable_id_fields:c' || k END AS code FROM x""",
-    "mrg_04_provenance": """WITH e AS (SELECT user_id, event_id, 'c' || (event_id % 7) AS c, unnest([event_type, 'all']) AS l, generate_subscripts([1, 2], 1) AS i FROM events WHERE event_id % 20 < 3), c AS (SELECT user_id, string_agg(c, ',' ORDER BY o) AS cs FROM (SELECT user_id, c, min(event_id) AS o FROM e GROUP BY ALL) GROUP BY 1)
+    "mrg_04_provenance": """WITH e AS (SELECT user_id, event_id, 'c' || (event_id % 7) AS c, unnest([event_type, 'all']) AS l, generate_subscripts([1, 2], 1) AS i FROM events), c AS (SELECT user_id, string_agg(c, ',' ORDER BY o) AS cs FROM (SELECT user_id, c, min(event_id) AS o FROM e GROUP BY ALL) GROUP BY 1)
 SELECT user_id AS id, any_value(cs) AS chunk_ids, string_agg(l, ',' ORDER BY o) AS lane_paths FROM (SELECT user_id, l, min(event_id * 10 + i) AS o FROM e GROUP BY ALL) JOIN c USING (user_id) GROUP BY user_id""",
     "agg_11_phase_summary": "SELECT l_returnflag AS phase, count(DISTINCT l_orderkey)::BIGINT AS batches, sum(l_linenumber)::BIGINT AS packets FROM lineitem GROUP BY 1",
     "jn_15_ledger_update": "SELECT 't' || d.doc_id AS template_name, CASE WHEN q = 1 THEN 'ingested' ELSE 'pending' END AS status FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) l USING (doc_id)",

@@ -180,10 +180,10 @@ def dsp_01_transitions(spark, sf_dir):
 
 
 def win_07_claims(spark, sf_dir):
-    """What each agent may claim within its capacity, and 12 in all (WIN-07, TOP-03, DSP-01)."""
+    """What each agent may claim within its capacity, 4 to 6 places above what it runs, and 12 in all (WIN-07, TOP-03, DSP-01)."""
     s = _state(spark, sf_dir)
     running = s.where("status = 'running'").groupBy("agent").agg(F.count("*").alias("n"))
-    capacity = spark.createDataFrame([("agent-0", 6), ("agent-1", 6), ("agent-2", 9)], "agent string, cap bigint")
+    capacity = s.groupBy("agent").agg((F.count_if(F.col("status") == "running") + 4 + F.right("agent", F.lit(1)).cast("long")).alias("cap"))
     return D.claims(s.where("status = 'pending'").select("batch_id", "agent", F.col("batch_id").alias("ord")), running, capacity, 12)
 
 
@@ -256,11 +256,11 @@ SELECT coalesce(c_custkey, id) AS id, coalesce(label, c_name) AS label, coalesce
     "mrg_08_requirements_overlay": "SELECT item_id AS key, item_id AS ord, CASE item_id % 3 WHEN 0 THEN upper(md5(text)) WHEN 1 THEN md5(text) END AS value, CASE item_id % 3 WHEN 0 THEN 'refreshed' WHEN 1 THEN 'existing' ELSE 'missing' END AS origin FROM benchmark",
     "val_02_item_errors": f"WITH {_GRAPH} " + " UNION ALL ".join(f"SELECT 'node' AS scope, id AS item_id, '{c}' AS code FROM p WHERE {r}" for c, r in _RULES),
     "val_02_duplicate_ids": f"WITH {_GRAPH} SELECT 'node' AS scope, id AS item_id, 'node_duplicate_id' AS code FROM p GROUP BY id HAVING count(*) > 1",
-    "jn_01_dangling_evidence": f"WITH {_GRAPH}, r AS (SELECT id, unnest(['evidence:' || (k % 150), 'evidence:' || (k % 211)]) AS ref FROM p WHERE k % 13 <> 0) SELECT DISTINCT 'node' AS scope, id AS item_id, 'dangling_evidence:' || ref AS code FROM r WHERE ref NOT IN (SELECT 'evidence:' || c_custkey FROM customer WHERE c_custkey < 140)",
+    "jn_01_dangling_evidence": f"WITH {_GRAPH}, r AS (SELECT id, unnest(['evidence:' || (k % 150), 'evidence:' || (k % 211)]) AS ref FROM p WHERE k % 13 <> 0) SELECT DISTINCT 'node' AS scope, id AS item_id, 'dangling_evidence:' || ref AS code FROM r WHERE ref NOT IN (SELECT 'evidence:' || c_custkey FROM customer)",
     "jn_02_dangling_ends": """WITH r AS (SELECT l_orderkey || '-' || l_linenumber AS id, unnest(['part:' || l_partkey, 'supplier:' || l_suppkey]) AS ref FROM lineitem)
 SELECT DISTINCT 'edge' AS scope, id AS item_id, 'dangling_end:' || ref AS code FROM r WHERE ref NOT IN (SELECT 'part:' || p_partkey FROM part WHERE p_partkey <= 150 UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_suppkey <= 8)""",
     "jn_03_range_containment": f"""WITH {_CHUNKS}, i AS (SELECT doc_id::VARCHAR AS item_id, doc_id || CASE WHEN doc_id % 9 = 0 THEN ':chunk-0099' ELSE ':chunk-0001' END AS c, n_chars % 50 AS a, CASE WHEN doc_id % 8 <> 0 THEN (n_chars * 7) % 3000 END AS z FROM documents),
-k AS (SELECT doc_id || ':' || chunk_id AS c, s, e FROM chunks WHERE no <= 2), x AS (SELECT i.*, k.s, k.e FROM i LEFT JOIN k ON i.c = k.c)
+k AS (SELECT doc_id || ':' || chunk_id AS c, s, e FROM chunks), x AS (SELECT i.*, k.s, k.e FROM i LEFT JOIN k ON i.c = k.c)
 SELECT 'range' AS scope, item_id, 'chunk_unknown' AS code FROM x WHERE s IS NULL UNION ALL SELECT 'range', item_id, 'source_range_invalid' FROM x WHERE z IS NULL OR z < a UNION ALL SELECT 'range', item_id, 'source_range_outside_chunk' FROM x WHERE a < s OR z > e""",
     "val_05_required_lanes": """WITH w AS (SELECT DISTINCT user_id, lane FROM events, (VALUES ('click'), ('view'), ('purchase')) AS l(lane)),
 o AS (SELECT user_id, event_type AS lane, bool_or(NOT (user_id % 5 = 0 AND event_type = 'click')) AS done, bool_or(user_id % 10 = 0) AS failed FROM events WHERE user_id % 7 <> 0 OR event_type <> 'view' GROUP BY ALL)
@@ -268,7 +268,7 @@ SELECT user_id AS chunk_id, lane AS lane_id, CASE WHEN done IS NULL THEN 'requir
     "val_18_single_writer": """WITH o AS (SELECT DISTINCT o_orderkey % 400 AS run, 'out/' || ((o_orderkey % 400) * 3 + CASE WHEN o_custkey % 97 = 0 THEN 1 ELSE 0 END) AS path FROM orders), s AS (SELECT DISTINCT o_orderkey % 400 AS run, 'out/' || ((o_orderkey % 400) * 3 + CASE WHEN o_custkey % 89 = 0 THEN 4 ELSE 0 END) AS path FROM orders)
 SELECT 'writer' AS scope, path AS item_id, 'duplicate_output_path' AS code FROM o GROUP BY path HAVING count(DISTINCT run) > 1 UNION ALL SELECT 'writer', path, 'duplicate_write_scope' FROM s GROUP BY path HAVING count(DISTINCT run) > 1
 UNION ALL SELECT DISTINCT 'writer', o.path, 'output_in_foreign_scope' FROM o JOIN s ON o.path = s.path AND o.run <> s.run""",
-    "val_19_repairs": """WITH f AS (SELECT doc_id, toxic = 1 AS open, quality = 1 AS need, CASE WHEN doc_id % 3 = 0 THEN doc_id % 500 END AS run FROM labels), r AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS repair FROM customer WHERE c_custkey < 400), x AS (SELECT f.*, r.id, r.repair FROM f LEFT JOIN r ON run = id)
+    "val_19_repairs": """WITH f AS (SELECT doc_id, toxic = 1 AS open, quality = 1 AS need, CASE WHEN doc_id % 3 = 0 THEN doc_id % 500 END AS run FROM labels), r AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS repair FROM customer), x AS (SELECT f.*, r.id, r.repair FROM f LEFT JOIN r ON run = id)
 SELECT 'finding' AS scope, doc_id::VARCHAR AS item_id, 'repair_missing' AS code FROM x WHERE open AND need AND run IS NULL UNION ALL SELECT 'finding', doc_id::VARCHAR, 'repair_run_unknown' FROM x WHERE run IS NOT NULL AND id IS NULL
 UNION ALL SELECT 'finding', doc_id::VARCHAR, 'repair_run_not_fresh' FROM x WHERE id IS NOT NULL AND NOT repair UNION ALL SELECT 'run', run::VARCHAR, 'repair_run_reused' FROM f WHERE run IS NOT NULL GROUP BY run HAVING count(*) > 1""",
     "val_03_json_contract": "SELECT 'json' AS scope, event_id::VARCHAR AS item_id, unnest(CASE event_id % 50 WHEN 0 THEN ['invalid_json'] WHEN 1 THEN ['not_an_object'] WHEN 2 THEN ['field_empty:code'] WHEN 5 THEN ['field_type:code'] WHEN 6 THEN ['field_missing:code'] ELSE ['field_type:attempt'] END) AS code FROM events WHERE event_id % 50 < 7",
@@ -278,7 +278,7 @@ SELECT key, 'left_only' AS side FROM a WHERE key NOT IN (SELECT key FROM b) UNIO
     "prj_07_batches": f"WITH {_CHUNKS} SELECT doc_id || ':' || chunk_id || ':' || lane || ':attempt-001' AS packet_id, ((no - 1) // 2 + 1)::BIGINT AS batch_no FROM chunks, (VALUES ('click'), ('purchase')) AS l(lane)",
     "dsp_01_transitions": f"""WITH {_STATE}, d AS (SELECT *, batch_id % 4 <> 0 AND batch_id % 5 <> 0 AS done FROM s), n AS (SELECT *, CASE WHEN status = 'running' AND done THEN 'completed' WHEN status = 'completed' AND NOT done THEN 'pending' ELSE status END AS now FROM d)
 SELECT batch_id, status, now, CASE WHEN now <> 'pending' THEN claimed_at END AS claimed_at FROM n""",
-    "win_07_claims": f"""WITH {_STATE}, free AS (SELECT agent, cap - coalesce(n, 0) AS free FROM (VALUES ('agent-0', 6), ('agent-1', 6), ('agent-2', 9)) AS c(agent, cap) LEFT JOIN (SELECT agent, count(*) AS n FROM s WHERE status = 'running' AND batch_id < 30 GROUP BY agent) USING (agent)),
+    "win_07_claims": f"""WITH {_STATE}, free(agent, free) AS (VALUES ('agent-0', 4), ('agent-1', 5), ('agent-2', 6)),
 p AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY batch_id) AS place FROM s WHERE status = 'pending') SELECT batch_id, agent, batch_id AS ord FROM p JOIN free USING (agent) WHERE place <= free ORDER BY batch_id LIMIT 12""",
     "win_06_serial_gate": """WITH b AS (SELECT l_orderkey AS phase, l_linenumber AS ord, CASE WHEN l_linenumber = 1 OR l_partkey % 5 = 0 THEN 'completed' WHEN l_suppkey % 6 = 0 THEN 'running' ELSE 'pending' END AS status FROM lineitem)
 SELECT phase, min(ord) FILTER (WHERE status <> 'completed') AS ord FROM b GROUP BY phase HAVING count(*) FILTER (WHERE status = 'running') = 0 AND count(*) FILTER (WHERE status <> 'completed') > 0""",

@@ -148,9 +148,9 @@ SELECT template_name, arg_min(category_id, j.k) AS category_id, any_value(z.targ
     "jn_10_cache_match": f"WITH {_TEMPLATES} SELECT template_name, CASE WHEN k % 6 = 0 THEN 'template_missing_in_cache' ELSE 'template_file_mismatch' END AS code FROM tpl WHERE k % 6 = 0 OR k % 4 = 0",
     "udf_04_latest_results": "SELECT 't' || conv_id AS template_name, arg_max(CASE turn % 4 WHEN 0 THEN 'a' ELSE 'b' END || turn, turn) AS title FROM conversations WHERE turn % 4 < 2 GROUP BY conv_id",
     "prj_18_drafts": "SELECT 't' || doc_id AS template_name, coalesce(text, '')[1:500] AS content, CASE WHEN doc_id % 3 > 0 THEN 'partial' ELSE 'missing' END AS coverage FROM documents",
-    "prj_19_markdown": """WITH c AS (SELECT 'order_' || l_orderkey AS n, (l_linenumber, l_partkey, l_suppkey) AS o, '## Line ' || l_linenumber || chr(10) || '**Return Flag**: ' || l_returnflag || chr(10) || '**Line Status**: ' || CASE WHEN l_linenumber % 3 <> 0 THEN l_linestatus ELSE '' END || CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE chr(10) || '> coverage: partial' END AS t FROM lineitem WHERE l_orderkey % 10 = 0)
+    "prj_19_markdown": """WITH c AS (SELECT 'order_' || l_orderkey AS n, (l_linenumber, l_partkey, l_suppkey) AS o, '## Line ' || l_linenumber || chr(10) || '**Return Flag**: ' || l_returnflag || chr(10) || '**Line Status**: ' || CASE WHEN l_linenumber % 3 <> 0 THEN l_linestatus ELSE '' END || CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE chr(10) || '> coverage: partial' END AS t FROM lineitem)
 SELECT n AS template_name, '# ' || n || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY o, t) AS text FROM c GROUP BY n""",
-    "agg_09_gap_report": """WITH g AS (SELECT user_id, event_id, unnest([event_type || '-' || event_id, CASE WHEN event_id % 2 <> 0 THEN 'x' END, CASE WHEN event_id % 4 = 0 THEN 'nf' END]) AS g, generate_subscripts([1, 2, 3], 1) AS i FROM events WHERE event_id % 9 = 0)
+    "agg_09_gap_report": """WITH g AS (SELECT user_id, event_id, unnest([event_type || '-' || event_id, CASE WHEN event_id % 2 <> 0 THEN 'x' END, CASE WHEN event_id % 4 = 0 THEN 'nf' END]) AS g, generate_subscripts([1, 2, 3], 1) AS i FROM events)
 SELECT 't' || user_id AS template_name, string_agg(g, '; ' ORDER BY event_id, i) AS gaps FROM g WHERE g IS NOT NULL GROUP BY user_id""",
     "agg_09_evidence_usage": "WITH e AS (SELECT l_orderkey % 100 AS t, unnest(['e' || l_partkey, 'e' || l_suppkey]) AS evidence_id FROM lineitem) SELECT evidence_id, count(DISTINCT t)::BIGINT AS templates, count(*)::BIGINT AS uses FROM e GROUP BY evidence_id",
     "val_20_record_errors": """WITH p AS (SELECT p_partkey AS k, 't' || p_partkey AS item_id FROM part), u AS (SELECT DISTINCT item_id, unnest(['e' || (k % 40), 'e' || (k % 90)]) AS ref FROM p)

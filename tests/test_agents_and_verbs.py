@@ -38,6 +38,6 @@ def test_verbs(spark, tmp_path, capsys):
     assert call("inspect-templates", "--template-dir", f"{tmp_path}/t")[1]["templates"][0]["template_name"] == "People"
     code, built = call("build-graph", "--source", f"{tmp_path}/*.txt", "--template-dir", f"{tmp_path}/t", "--graph-dir", f"{tmp_path}/g")
     assert code == 0 and built["readiness"][0]["covered"] == 1 and built["evidence"] == 1
-    assert call("validate-graph", "--graph-dir", f"{tmp_path}/g") == (0, {"ok": True, "errors": []})
+    assert call("validate-graph", "--graph-dir", f"{tmp_path}/g") == (0, {"ok": True, "n_errors": 0, "errors": []})
     assert call("query-graph", "--graph-dir", f"{tmp_path}/g", "--question", "keeper")[1]["results"][0]["nodes_found"] == 2
     assert call("query-graph", "--graph-dir", f"{tmp_path}/g", "--question", "zzz")[0] == 2

@@ -55,11 +55,16 @@ def test_depth_first_walk_equals_a_stack(spark, sf_dir):
 
 
 def test_rendered_text_keeps_its_budget(spark, sf_dir):
+    from evidloom.operators import graph as G
     from evidloom.plans import graph_queries as g
 
-    rows = {r["query_id"]: r for r in QUERIES["gr_08_query_graph"](spark, sf_dir).collect()}
+    rows = {r["query_id"]: r for n in ("gr_08_query_graph", "gr_08_query_graph_depth_first") for r in QUERIES[n](spark, sf_dir).collect()}
     budget = {r["query_id"]: r["token_budget"] for r in g.fn_11_query_params(spark, sf_dir).collect()}
-    assert "q3" not in rows
+    assert set(rows) == set(budget) and rows["q3"]["text"] == rows["q6"]["text"] == G.NO_TERMS and rows["q7"]["text"] == G.NO_MATCH
     for q, r in rows.items():
-        assert len(r["text"]) <= 3 * budget[q]
-        assert r["text"].startswith("NODE ") and r["nodes_found"] >= r["text"].count("NODE ")
+        text, _, note = r["text"].partition(G.CUT[0])
+        assert len(text) <= 3 * budget[q]
+        if r["nodes_found"]:
+            shown = sum(x.startswith("NODE ") for x in text.split("\n"))
+            assert text.startswith("NODE ") and r["nodes_found"] - shown == (int(note.split()[0]) if note else 0)
+    assert any(G.CUT[0] in r["text"] for r in rows.values()) and rows["q2"]["mode"] == "dfs"
