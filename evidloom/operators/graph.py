@@ -107,7 +107,8 @@ def bfs(starts: DataFrame, edges: DataFrame, hubs: DataFrame, depth: int, contex
     visited before it, parallel ones repeated. Limits (query_id, depth) stop a query before `depth`.
     """
     kept = edges if context is None else edges.where(F.col("context").isin(context))
-    adj = adjacency(kept).select("u", "v", "ord")
+    # Read once a level: made once.
+    adj = cut(adjacency(kept).select("u", "v", "ord"))
     now, hubs = cut(starts.select("query_id", "node").distinct().withColumn("level", F.lit(0).cast("long"))), cut(hubs)
     visited, found = now, None
     for level in range(1, max(0, min(depth, MAX_DEPTH)) + 1):
@@ -184,14 +185,14 @@ def _wanted(params: DataFrame, name: str) -> DataFrame:
 
 def queried(params: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Normalised parameters over nodes and edges -> a row for each question: query_id, question, mode, depth, nodes_found, edges_found, text, seeds. Terms, seeds of the types asked for, each question's own walk and depth, edges of its contexts. Without a term or a match the text says so."""
-    params = cut(params)
+    params, nodes, edges = cut(params), cut(nodes), cut(edges)
     terms = question_terms(params)
     scored = score_nodes(terms, nodes, idf(terms, nodes))
     if "target_node_types" in params.columns:
         types = nodes.select(F.col("id").alias("ti"), "node_type").distinct()
         typed = scored.join(types, F.col("id") == F.col("ti")).join(_wanted(params, "target_node_types"), F.col("query_id") == F.col("wq"))
         scored = typed.where("list IS NULL OR array_contains(list, node_type)").select("query_id", "id", "label", "score").distinct()
-    degree = degrees(edges)
+    degree = cut(degrees(edges))
     hubs = cut(degree.join(F.broadcast(hub_threshold(degree)), F.col("degree") >= F.col("threshold")).select("node"))
     starts = cut(seeds(scored).select("query_id", F.col("id").alias("node"), "place"))
     deepest = {r["mode"]: r["d"] for r in params.groupBy("mode").agg(F.max("depth").alias("d")).collect()}

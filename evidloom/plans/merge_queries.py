@@ -72,7 +72,7 @@ def _graph_items(spark, sf_dir):
         F.when(k % 31 == 0, None).otherwise(F.col("p_name")).alias("label"),
         F.when(k % 23 == 0, None).otherwise(k - F.when(k % 19 == 0, 10**6).otherwise(0)).alias("start"),
         F.when(k % 23 == 0, None).when(k % 17 == 0, k - 1).otherwise(k + 9).alias("end"),
-        F.when(k % 13 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("evidence:"), k % 150), F.concat(F.lit("evidence:"), k % 211))).alias("evidence_ids"),
+        F.when(k % 13 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("evidence:"), k % 150), F.concat(F.lit("evidence:"), k))).alias("evidence_ids"),
         F.when(k % 11 == 0, "sure").otherwise("high").alias("confidence"),
         F.when(k % 7 == 0, None).otherwise("verified").alias("verification_status"),
     )
@@ -88,7 +88,7 @@ def val_02_duplicate_ids(spark, sf_dir):
 
 
 def jn_01_dangling_evidence(spark, sf_dir):
-    """Evidence named by nodes that is no customer's: all customers are known."""
+    """Evidence named by nodes that is no customer's: all customers are known, and there are more parts than customers."""
     refs = _graph_items(spark, sf_dir).select(F.col("id").alias("item_id"), F.explode("evidence_ids").alias("ref"))
     known = table(spark, sf_dir, "customer").select(F.concat(F.lit("evidence:"), "c_custkey").alias("id"))
     return V.dangling(refs, known, "node", "dangling_evidence")
@@ -256,7 +256,7 @@ SELECT coalesce(c_custkey, id) AS id, coalesce(label, c_name) AS label, coalesce
     "mrg_08_requirements_overlay": "SELECT item_id AS key, item_id AS ord, CASE item_id % 3 WHEN 0 THEN upper(md5(text)) WHEN 1 THEN md5(text) END AS value, CASE item_id % 3 WHEN 0 THEN 'refreshed' WHEN 1 THEN 'existing' ELSE 'missing' END AS origin FROM benchmark",
     "val_02_item_errors": f"WITH {_GRAPH} " + " UNION ALL ".join(f"SELECT 'node' AS scope, id AS item_id, '{c}' AS code FROM p WHERE {r}" for c, r in _RULES),
     "val_02_duplicate_ids": f"WITH {_GRAPH} SELECT 'node' AS scope, id AS item_id, 'node_duplicate_id' AS code FROM p GROUP BY id HAVING count(*) > 1",
-    "jn_01_dangling_evidence": f"WITH {_GRAPH}, r AS (SELECT id, unnest(['evidence:' || (k % 150), 'evidence:' || (k % 211)]) AS ref FROM p WHERE k % 13 <> 0) SELECT DISTINCT 'node' AS scope, id AS item_id, 'dangling_evidence:' || ref AS code FROM r WHERE ref NOT IN (SELECT 'evidence:' || c_custkey FROM customer)",
+    "jn_01_dangling_evidence": f"WITH {_GRAPH}, r AS (SELECT id, unnest(['evidence:' || (k % 150), 'evidence:' || k]) AS ref FROM p WHERE k % 13 <> 0) SELECT DISTINCT 'node' AS scope, id AS item_id, 'dangling_evidence:' || ref AS code FROM r WHERE ref NOT IN (SELECT 'evidence:' || c_custkey FROM customer)",
     "jn_02_dangling_ends": """WITH r AS (SELECT l_orderkey || '-' || l_linenumber AS id, unnest(['part:' || l_partkey, 'supplier:' || l_suppkey]) AS ref FROM lineitem)
 SELECT DISTINCT 'edge' AS scope, id AS item_id, 'dangling_end:' || ref AS code FROM r WHERE ref NOT IN (SELECT 'part:' || p_partkey FROM part WHERE p_partkey <= 150 UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_suppkey <= 8)""",
     "jn_03_range_containment": f"""WITH {_CHUNKS}, i AS (SELECT doc_id::VARCHAR AS item_id, doc_id || CASE WHEN doc_id % 9 = 0 THEN ':chunk-0099' ELSE ':chunk-0001' END AS c, n_chars % 50 AS a, CASE WHEN doc_id % 8 <> 0 THEN (n_chars * 7) % 3000 END AS z FROM documents),
