@@ -69,3 +69,25 @@ def cache_decision(previous: DataFrame, current: DataFrame, required: DataFrame)
 def affected_chunks(changed: DataFrame, supports: DataFrame) -> DataFrame:
     """Chunks (chunk_id) whose evidence (chunk_id, template_name) supports a changed template (template_name): a semi-join."""
     return supports.join(changed.select(F.col("template_name").alias("__t")), F.col("template_name") == F.col("__t"), "left_semi").select("chunk_id").distinct()
+
+
+def stamped_packets(packets: DataFrame, selected: DataFrame) -> DataFrame:
+    """Packets (packet_id, ...) with the agent selected for each (request_id, agent); null where none is there."""
+    s = selected.select(F.col("request_id").alias("__r"), F.col("agent").alias("selected_agent"))
+    return packets.join(s, F.col("packet_id") == F.col("__r"), "left").drop("__r")
+
+
+def templates_to_refresh(templates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Templates (key, ...) whose decision (key, decision) is changed or missing_requirement: a semi-join."""
+    d = decisions.where(F.col("decision").isin("changed", "missing_requirement")).select(F.col("key").alias("__k"))
+    return templates.join(d, F.col("key") == F.col("__k"), "left_semi")
+
+
+def dispatch_plan(phases: list[tuple[str, DataFrame]], review: bool = True) -> DataFrame:
+    """Phases in order, each with its batches (batch_id, n_packets) -> phase_no, phase, batch_id, n_packets; a review phase only where review is required."""
+    kept = [(n, d) for n, d in phases if review or n != "review"]
+    parts = [d.select(F.lit(i + 1).cast("long").alias("phase_no"), F.lit(n).alias("phase"), F.col("batch_id").cast("string").alias("batch_id"), F.col("n_packets").cast("long").alias("n_packets")) for i, (n, d) in enumerate(kept)]
+    out = parts[0]
+    for d in parts[1:]:
+        out = out.unionByName(d)
+    return out

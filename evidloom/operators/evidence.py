@@ -95,3 +95,8 @@ def ordered_distinct(rows: DataFrame, group: list[str], value: str, order: str,
 def running_first(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """rows with `place`, their number in the group by the order."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
+
+
+def ordered_lists(rows: DataFrame, group: list[str], value: str, order: str, name: str) -> DataFrame:
+    """All values of a group in order, repeats included. A group's values come together, so they should be ids, not texts."""
+    return rows.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), F.col(value).alias("__v")))), lambda x: x["__v"]).alias(name))

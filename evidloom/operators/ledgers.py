@@ -162,3 +162,14 @@ def canonical_errors(lanes: DataFrame) -> DataFrame:
     """Lists of errors (chunk_id, errors) -> chunk_id, errors: before the first of a lane the code required_lane_missing, each once."""
     each = F.flatten(F.transform("errors", lambda e: F.when(e.startswith("lane_"), F.array(F.lit("required_lane_missing"), e)).otherwise(F.array(e))))
     return lanes.select("chunk_id", F.array_join(F.array_distinct(each), ",").alias("errors"))
+
+
+def failed_runs(runs: DataFrame, code: str, errors: list[str]) -> DataFrame:
+    """Run records, all failed with a code and its errors."""
+    return runs.withColumns({"status": F.lit("failed"), "errors": F.array(F.lit(code), *[F.lit(e) for e in errors])})
+
+
+def chunk_summaries(ledger: DataFrame, key: str = "source_id") -> DataFrame:
+    """Chunk ledger -> what packets and the manifest say of a chunk, without its text: key, chunk_id, source_range, chapter_hint, hash, chunk_text_path."""
+    place = F.concat(F.lit("chunks/"), F.col(key).cast("string"), F.lit("/"), "chunk_id", F.lit(".txt"))
+    return ledger.select(key, "chunk_id", F.array("start", "end").alias("source_range"), F.col("hint").alias("chapter_hint"), F.col("sha256").alias("hash"), place.alias("chunk_text_path"))
