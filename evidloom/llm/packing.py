@@ -24,7 +24,7 @@ from evidloom.llm.common import per_worker, read, stored
 CAPACITY = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
-SHARE_ROWS, SHARES = 500, 20_000
+SHARE_ROWS, SHARES = 100, 20_000
 #: Words kept by a worker: some 300 MB.
 MOST_WORDS = 1_200_000
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -34,8 +34,9 @@ class Encoder:
     """Texts to little-endian 32-bit ids, word by word through a table.
 
     A word whose lower-case form is of Latin letters alone, also before one of TAILS, is one pretoken: its ids are those
-    of that form, and just the last of these ends a word. Such forms are encoded many at a time and cut behind the ends.
-    A word whose lower case brings in a mark (a dotted capital I) is encoded as it stands.
+    of that form, and just the last of these ends a word. Forms of ASCII letters are what the model itself takes: it is asked for
+    each. Other forms are encoded many at a time and cut behind the ends. A word whose lower case brings in a mark (a
+    dotted capital I) is encoded as it stands.
     """
 
     #: A separator the tokenizer knows as a token of its own.
@@ -55,6 +56,7 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.tails = {c: self._bytes(c) for c in self.TAILS}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(len(self.ends))]
 
     def _bytes(self, text: str) -> bytes:
         import numpy as np
@@ -66,35 +68,52 @@ class Encoder:
         data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def _learn_forms(self, forms: list[str]) -> None:
+    def _learn_forms(self, forms: set[str]) -> None:
         import numpy as np
 
-        for at in range(0, len(forms), 2000):
-            some = forms[at : at + 2000]
+        tokenize, id_bytes, others = self.tokenizer.model.tokenize, self.id_bytes, []
+        for form in forms:
+            if form.isascii():
+                self.forms[form] = b"".join([id_bytes[t.id] for t in tokenize(form)])
+            else:
+                others.append(form)
+        for at in range(0, len(others), 2000):
+            some = others[at : at + 2000]
             ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             found = self._cut(ids, np.flatnonzero(self.ends[ids]) + 1)
             self.forms.update(zip(some, found if len(found) == len(some) else map(self._bytes, some), strict=True))
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         import numpy as np
 
-        simple, plain = [], []
+        known, tails, last, table = self.forms, self.tails, self.LAST_LATIN, self.table
+        heads, forms, ends, plain, new = [], [], [], [], set()
         for w in words:
-            head, tail = (w[:-1], w[-1]) if w[-1] in self.tails and len(w) > 1 else (w, "")
-            form = head.lower()
-            if head.isalpha() and form.isalpha() and max(head + form) <= self.LAST_LATIN:
-                simple.append((w, form, tail))
-            elif "<|" in w:
-                self.table[w] = self._bytes(w)
+            if w.isalpha():
+                head, tail = w, b""
+            elif w[-1] in tails and len(w) > 1 and (head := w[:-1]).isalpha():
+                tail = tails[w[-1]]
             else:
                 plain.append(w)
-        self._learn_forms(list({form for _, form, _ in simple}.difference(self.forms)))
-        forms, tails = self.forms, self.tails | {"": b""}
-        self.table.update((w, forms[form] + tails[tail]) for w, form, tail in simple)
+                continue
+            form = head.lower()
+            if not w.isascii() and not (form.isalpha() and max(head) <= last and max(form) <= last):
+                plain.append(w)
+                continue
+            heads.append(w)
+            forms.append(form)
+            ends.append(tail)
+            if form not in known:
+                new.add(form)
+        self._learn_forms(new)
+        table.update(zip(heads, map(bytes.__add__, map(known.__getitem__, forms), ends), strict=True))
+        marked = [w for w in plain if "<|" in w]
+        table.update((w, self._bytes(w)) for w in marked)
+        plain = [w for w in plain if "<|" not in w] if marked else plain
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
             ids = np.asarray(self.tokenizer.encode(self.MARK.join(some) + self.MARK, add_special_tokens=False).ids, dtype="<u4")
-            self.table.update(zip(some, (x[:-4] for x in self._cut(ids, np.flatnonzero(ids == self.MARK_ID) + 1)), strict=True))
+            table.update(zip(some, (x[:-4] for x in self._cut(ids, np.flatnonzero(ids == self.MARK_ID) + 1)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. The tables are emptied where they would pass their bound."""
@@ -103,7 +122,7 @@ class Encoder:
         if len(self.table) + len(new) > self.most and self.table:
             self.table, self.forms = {}, {}
             new = set().union(*(x for x in split if x))
-        self._learn(list(new))
+        self._learn(new)
         get = self.table.__getitem__
         return [self._bytes(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
 
