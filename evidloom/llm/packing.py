@@ -25,8 +25,8 @@ CAPACITY = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 SHARE_ROWS, SHARES = 100, 20_000
-#: Words kept by a worker: some 300 MB.
-MOST_WORDS = 1_200_000
+#: Words and their lower-case forms kept by a worker: some 170 MB.
+MOST_WORDS = 1_100_000
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -34,7 +34,7 @@ class Encoder:
     """Texts to little-endian 32-bit ids, word by word through a table.
 
     A word whose lower-case form is of Latin letters alone, also before one of TAILS, is one pretoken: its ids are those
-    of that form, and just the last of these ends a word. Forms of ASCII letters are what the model itself takes: it is asked for
+    of that form, which is kept as a word, too, and just the last of these ends a word. Forms of ASCII letters are what the model itself takes: it is asked for
     each. Other forms are encoded many at a time and cut behind the ends. A word whose lower case brings in a mark (a
     dotted capital I) is encoded as it stands.
     """
@@ -51,7 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.most, self.table, self.forms = most_words, {}, {}
+        self.most, self.table = most_words, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -74,19 +74,19 @@ class Encoder:
         tokenize, id_bytes, others = self.tokenizer.model.tokenize, self.id_bytes, []
         for form in forms:
             if form.isascii():
-                self.forms[form] = b"".join([id_bytes[t.id] for t in tokenize(form)])
+                self.table[form] = b"".join([id_bytes[t.id] for t in tokenize(form)])
             else:
                 others.append(form)
         for at in range(0, len(others), 2000):
             some = others[at : at + 2000]
             ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             found = self._cut(ids, np.flatnonzero(self.ends[ids]) + 1)
-            self.forms.update(zip(some, found if len(found) == len(some) else map(self._bytes, some), strict=True))
+            self.table.update(zip(some, found if len(found) == len(some) else map(self._bytes, some), strict=True))
 
     def _learn(self, words: set[str]) -> None:
         import numpy as np
 
-        known, tails, last, table = self.forms, self.tails, self.LAST_LATIN, self.table
+        tails, last, table = self.tails, self.LAST_LATIN, self.table
         heads, forms, ends, plain, new = [], [], [], [], set()
         for w in words:
             if w.isalpha():
@@ -100,13 +100,14 @@ class Encoder:
             if not w.isascii() and not (form.isalpha() and max(head) <= last and max(form) <= last):
                 plain.append(w)
                 continue
-            heads.append(w)
-            forms.append(form)
-            ends.append(tail)
-            if form not in known:
-                new.add(form)
+            if form != w:
+                heads.append(w)
+                forms.append(form)
+                ends.append(tail)
+            if form not in table:
+                new.add(w if form == w else form)
         self._learn_forms(new)
-        table.update(zip(heads, map(bytes.__add__, map(known.__getitem__, forms), ends), strict=True))
+        table.update(zip(heads, map(bytes.__add__, map(table.__getitem__, forms), ends), strict=True))
         marked = [w for w in plain if "<|" in w]
         table.update((w, self._bytes(w)) for w in marked)
         plain = [w for w in plain if "<|" not in w] if marked else plain
@@ -116,11 +117,11 @@ class Encoder:
             table.update(zip(some, (x[:-4] for x in self._cut(ids, np.flatnonzero(ids == self.MARK_ID) + 1)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. The tables are emptied where they would pass their bound."""
+        """The ids of each text. The table is emptied where it would pass its bound (by the forms of one lot at most)."""
         split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
         new = set().union(*(x for x in split if x)).difference(self.table)
         if len(self.table) + len(new) > self.most and self.table:
-            self.table, self.forms = {}, {}
+            self.table = {}
             new = set().union(*(x for x in split if x))
         self._learn(new)
         get = self.table.__getitem__
