@@ -101,7 +101,8 @@ FOLDS = _folds()
 
 def folded(text: Column) -> Column:
     """Lower case without diacritics, in the JVM: letters that decompose to one character and marks lose the marks; ligatures, which decompose to several, stay (values.without_marks takes them apart, in Python)."""
-    return F.lower(F.regexp_replace(F.translate(text, *FOLDS), r"[\x{0300}-\x{036F}]", ""))
+    bare = F.regexp_replace(F.translate(text, *FOLDS), r"[\x{0300}-\x{036F}]", "")
+    return F.lower(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(bare))
 
 
 def folded_words(text: Column) -> Column:
