@@ -67,3 +67,16 @@ def test_merge_with_ties_nulls_and_no_rows(spark):
     assert [(r["id"], r["kept_from"], r["conflicting"]) for r in out["conflicts"].collect()] == [("k", "c1", "c3")]
     none = M.merge_items(df.limit(0), key="id", order=["o"], body=["body"], provenance="chunk")
     assert none["kept"].count() == none["conflicts"].count() == 0
+
+
+def test_merged_enums():
+    from evidloom.operators.contracts import ENUMS, merged_enums
+
+    assert merged_enums(None) == (ENUMS, []) and merged_enums([]) == (ENUMS, ["bad_status_enums"])
+    found, codes = merged_enums({"confidence_levels": ["SURE", 3], "verification_statuses": "x", "other": []})
+    assert found == ENUMS | {"confidence_levels": ("SURE",), "other": ()} and sorted(codes) == ["bad_status_enum:verification_statuses", "bad_status_enum_item:confidence_levels"]
+
+
+def test_folded(spark):
+    for text, want in (("Caf\u00e9 \u00c5NGSTR\u00d6M e\u0301", "cafe angstrom e"), ("PLAIN", "plain"), ("", ""), (None, None), ("\ufb01", "\ufb01")):
+        assert one(spark, T.folded, text) == want
