@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, \t, \n, \v, \f and \r.
@@ -144,3 +144,28 @@ def per_worker(key: str, make):
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def ranked(df: DataFrame, order: tuple[Column, ...], name: str, group: str | None = None) -> DataFrame:
+    """df with each row's place from 0 on in `order` (within its group, a column that isn't null): rows are dealt out by ranges, numbered in their partition, stored, and raised by the counts of the partitions before. No task holds a group, equal keys are dealt out by the place that they come from."""
+    keys = ([F.col(group).asc()] if group else []) + list(order)
+    dealt = df.withColumn("__row", F.monotonically_increasing_id())
+    by_range = dealt.repartitionByRange(*keys, F.col("__row").asc()).sortWithinPartitions(*keys, F.col("__row").asc()).drop("__row")
+    numbered = stored(by_range.select("*", F.monotonically_increasing_id().alias("__at")), "ranked")
+    part, owner = F.shiftright("__at", 33).alias("__part"), F.col(group) if group else F.lit("")
+    counts = numbered.groupBy(part, owner.alias("__group")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = small_side(stored(counts.select("__part", "__group", (before - F.col("__first")).alias("__shift")), "offsets"))
+    placed = numbered.select("*", part, owner.alias("__group")).join(offsets, ["__part", "__group"])
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__at") + F.col("__shift")).alias(name))
+
+
+#: SQL for the table of crc32 by bytes, a list of 256 numbers in column tab.
+CRC_TABLE_SQL = """SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM (SELECT unnest(range(256)) AS i)"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the unsigned crc32 of a text's UTF-8 bytes; CRC_TABLE_SQL's column is in scope."""
+    byte_list = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda k: ('0x' || substr(hex(encode({text})), 2 * k - 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {byte_list}), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)"
