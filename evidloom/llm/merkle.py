@@ -227,7 +227,8 @@ def manifest(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     whole = down(top, roots.select("tree", F.lit(b"").alias("path")), block)
     to_root = _walked(whole, block).select("at", "path")
     langs = whole.select(F.explode("nodes").alias("n")).select("n.lang", "n.at", F.col("n.node").alias("subroot"))
-    above = stored(langs.join(to_root, "at").crossJoin(F.broadcast(roots.select(F.col("node").alias("root")))).select(F.col("lang").alias("tree"), "path", "subroot", "root"), "tops")
+    root = F.lit(r["node"] if (r := roots.first()) else None).cast("binary")
+    above = stored(langs.join(to_root, "at").select(F.col("lang").alias("tree"), "path", "subroot", root.alias("root")), "tops")
     rows = down(found, above, block).join(above.drop("path"), "tree")
     return _proved(rows, docs.schema["doc_id"].dataType.simpleString(), block)
 

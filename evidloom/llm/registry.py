@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality_rules", "simhash", "url_filters", "decontamination", "line_dedup", "packing", "warc", "html_extraction", "secret_scan", "chat_formatting", "merkle", "resampling")
+MODULES = ("quality_rules", "simhash", "url_filters", "decontamination", "line_dedup", "packing", "warc", "html_extraction", "secret_scan", "chat_formatting", "pii", "merkle", "resampling")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
