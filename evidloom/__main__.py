@@ -31,9 +31,11 @@ def parser() -> Parser:
     v.add_argument("--graph-dir", required=True)
     v = verbs.add_parser("validate-graph")
     v.add_argument("--graph-dir", required=True)
+    v.add_argument("--artifacts", action="store_true", help="the folder holds JSON artifacts, not the tables of build-graph")
     v = verbs.add_parser("query-graph")
     v.add_argument("--graph-dir", required=True)
     v.add_argument("--question", required=True)
+    v.add_argument("--mode", default="bfs")
     v.add_argument("--depth", default="3")
     v.add_argument("--token-budget", default="2000")
     return p
@@ -61,13 +63,24 @@ def run(a: argparse.Namespace) -> dict:
         g.save(a.graph_dir)
         bad = texts.where("code IS NOT NULL").count()
         return {"ok": not bad, "unreadable_sources": bad, "chunks": g.chunks.count(), "evidence": g.evidence.count(), "readiness": [r.asDict() for r in g.readiness.orderBy("template_name").collect()]}
+    if a.verb == "validate-graph" and a.artifacts:
+        from evidloom.operators.graph_dir import Directories
+
+        base, _, name = a.graph_dir.rstrip("/").rpartition("/")
+        d = Directories(files.catalogue(spark, base or ".", name))
+        found = d.errors().cache()
+        verdict = d.verdicts(found).first()
+        out = {"ok": verdict["ok"], "n_errors": verdict["n_errors"], "errors": sorted(r["code"] for r in found.limit(1000).collect()), "review_status": verdict["review_status"], "warnings": [w for w in [verdict["warnings"]] if w]}
+        found.unpersist()
+        d.close()
+        return out
     g = EvidenceGraph.load(spark, a.graph_dir)
     if a.verb == "validate-graph":
         found = g.errors().cache()
         n = found.count()
         return {"ok": not n, "n_errors": n, "errors": [r.asDict() for r in found.limit(1000).collect()]}
     kind = "query_id string, question string, mode string, depth string, token_budget string, result_limit string"
-    rows = g.query(spark.createDataFrame([("q", a.question, "bfs", a.depth, a.token_budget, None)], kind)).collect()
+    rows = g.query(spark.createDataFrame([("q", a.question, a.mode, a.depth, a.token_budget, None)], kind)).collect()
     return {"ok": any(r["nodes_found"] for r in rows), "results": [r.asDict() for r in rows]}
 
 

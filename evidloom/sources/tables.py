@@ -24,3 +24,11 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: its plan starts anew."""
     df.write.parquet(path := f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}")
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table made by cut()."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
