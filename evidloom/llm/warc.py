@@ -7,14 +7,16 @@ lost leaves nothing half-written and one that is repeated replaces it.
 
 Reading. Byte ranges are dealt out, a task for each (for several beyond `MOST_TASKS`). A task scans its range for gzip's magic
 number, accepts a place only if a member decodes there to the header of a WARC record, one that ends within HEADER_BYTES,
-and from then on goes from member to member; it owns the records that start inside its range, wherever they end. Ranges
-need no index and may be cut anywhere.
+and from then on goes from member to member, whose headers may be of any length; it owns the records that start inside its range, wherever they end. Ranges
+need no index and may be cut anywhere. The writer keeps every header within HEADER_BYTES, so each of its records is found from any
+range; verified() counts what was written against what is read.
 
 Files are reached through pyarrow's file systems, so the shared folder may be file:, hdfs:, s3: or gs:.
 
 Defined results: a null html is an empty payload; a null page_id is never the largest (equal payloads without
 any id are all responses), and comes back as null; records of the largest id are all responses if it is repeated; a null url has no
-target; control characters in urls are percent-encoded; no rows give no archive and no rows; extra columns are ignored.
+target; control characters in urls are percent-encoded; a url of more than URL_BYTES bytes is left out of its record, which says so by the url's SHA-1 and length,
+and comes back as null; no rows give no archive and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 1 << 30
 RANGE_BYTES = 16 << 20
 CHUNK = 1 << 16
-#: A record whose header is longer than this isn't accepted.
+#: A place in an archive whose record has a longer header isn't accepted, unless the record before it ends there.
 HEADER_BYTES = 1 << 20
+#: Longer urls aren't written.
+URL_BYTES = 1 << 19
 #: Partitions of ranges at most: more make a driver slow. Their ranges are read one after another.
 MOST_TASKS = 200_000
 DATE = "1970-01-01T00:00:00Z"
@@ -52,6 +56,7 @@ def decided(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
 def record(page_id, url, payload: bytes, digest: str, size: int, refers_to) -> bytes:
     """One WARC record. A revisit has the payload's HTTP header, with its length, and no payload."""
+    import hashlib
     import re
 
     name = lambda x: f"<urn:page:{'' if x is None else x}>"
@@ -59,7 +64,9 @@ def record(page_id, url, payload: bytes, digest: str, size: int, refers_to) -> b
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
+        target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+        n = len(target.encode())
+        head += [f"WARC-Target-URI: {target}"] if n <= URL_BYTES else [f"X-Target-URI-Digest: sha1:{hashlib.sha1(url.encode()).hexdigest()}", f"X-Target-URI-Length: {n}"]
     if refers_to is not None:
         head += [f"WARC-Refers-To: {name(refers_to)}", f"WARC-Profile: {PROFILE}"]
     head += [f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -67,7 +74,7 @@ def record(page_id, url, payload: bytes, digest: str, size: int, refers_to) -> b
 
 
 def write(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """The records of decided() to archives in a folder -> (path, size), stored: the archives are there when this returns."""
+    """The records of decided() to archives in a folder -> (path, size, records), stored: the archives are there when this returns."""
 
     def written(batches):
         import gzip
@@ -78,15 +85,15 @@ def write(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Data
 
         task = TaskContext.get()
         system, base = fs.FileSystem.from_uri(folder)
-        done, out, size, part = [], None, 0, 0
+        done, out, size, part, count = [], None, 0, 0, 0
 
         def close():
-            nonlocal out, size, part
+            nonlocal out, size, part, count
             if out is not None:
                 out.close()
                 system.move(f"{base}/{own}", f"{base}/{name}")
-                done.append((f"{folder}/{name}", size))
-                out, size, part = None, 0, part + 1
+                done.append((f"{folder}/{name}", size, count))
+                out, size, part, count = None, 0, part + 1, 0
 
         for row in (row for whole in batches for at in range(0, whole.num_rows, 256) for row in zip(*[c.to_pylist() for c in whole.slice(at, 256).columns], strict=True)):
             if out is None:
@@ -98,12 +105,13 @@ def write(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Data
             member = gzip.compress(record(*row), compresslevel=6, mtime=0)
             out.write(member)
             size += len(member)
+            count += 1
             if size >= file_bytes:
                 close()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["path", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), *[pa.array([x[i] for x in done], pa.int64()) for i in (1, 2)]], names=["path", "size", "records"])
 
-    return stored(records.mapInArrow(written, "path string, size bigint"), "warc-files")
+    return stored(records.mapInArrow(written, "path string, size bigint, records bigint"), "warc-files")
 
 
 def parsed(data: bytes) -> dict | None:
@@ -122,8 +130,8 @@ def parsed(data: bytes) -> dict | None:
     return fields | {"block": rest[: int(fields["content-length"])], "whole": len(rest) >= int(fields["content-length"])}
 
 
-def member_at(read_at, at: int) -> tuple[bytes, int] | None:
-    """(text, end) of the gzip member at an offset, or None if what is there doesn't decode to a WARC record's start."""
+def member_at(read_at, at: int, most: float = HEADER_BYTES) -> tuple[bytes, int] | None:
+    """(text, end) of the gzip member at an offset, or None if what is there doesn't decode to a WARC record's start, with a header of fewer bytes than most."""
     import zlib
 
     stream, out, size, here, headed = zlib.decompressobj(31), [], 0, at, False
@@ -137,8 +145,8 @@ def member_at(read_at, at: int) -> tuple[bytes, int] | None:
             size += len(out[-1])
             if not headed and (size >= 7 or stream.eof):
                 head = b"".join(out)
-                headed = 0 <= head.find(b"\r\n\r\n") < HEADER_BYTES
-                if not head.startswith(b"WARC/1.") or not headed and (stream.eof or size >= HEADER_BYTES):
+                headed = 0 <= head.find(b"\r\n\r\n") < most
+                if not head.startswith(b"WARC/1.") or not headed and (stream.eof or size >= most):
                     return None
     except zlib.error:
         return None
@@ -160,7 +168,7 @@ def records_in(read_at, start: int, end: int):
             at += k
             if at >= end:
                 return
-        member = member_at(read_at, at)
+        member = member_at(read_at, at, float("inf") if sure else HEADER_BYTES)
         fields = parsed(member[0]) if member else None
         if fields and fields["whole"]:
             yield fields
@@ -206,6 +214,14 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
     return ranges.mapInArrow(rows, RECORD)
 
 
+def verified(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows, if there are as many of them as records were written to the files; else an error. Both are counted for this."""
+    written, found = files.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"], rows.count()
+    if written != found:
+        raise ValueError(f"{written} records were written, {found} read")
+    return rows
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write(decided(read(spark, sf_dir, "pages")), fresh_path(spark, "warc"))
     return read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

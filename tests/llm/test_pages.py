@@ -151,11 +151,30 @@ def test_warc_ranges_are_read_by_many_tasks(spark):
     assert read.count() == 60 and read.select("task").distinct().count() > min(ranges, 60) // 4
 
 
-def test_warc_header_is_bounded():
+def test_warc_headers_are_bounded_where_they_are_searched_for():
     record = lambda n: warc.record(1, "u" * n, b"payload", "d", 7, None)
-    for n, found in ((1000, 1), (warc.HEADER_BYTES - 500, 1), (warc.HEADER_BYTES + 1, 0)):
+    at = lambda data: lambda i, k: data[i : i + k]
+    for n in (5, 1000, warc.URL_BYTES, warc.URL_BYTES + 1, warc.HEADER_BYTES, 3 * warc.HEADER_BYTES):
+        assert record(n).find(b"\r\n\r\n") < warc.HEADER_BYTES
         data = gzip.compress(record(n)) + gzip.compress(record(5))
-        assert len(list(warc.records_in(lambda i, k, d=data: d[i : i + k], 0, len(data)))) == 1 + found
+        found = list(warc.records_in(at(data), 0, len(data)))
+        assert [x.get("warc-target-uri") for x in found] == ["u" * n if n <= warc.URL_BYTES else None, "u" * 5]
+    # Another writer's longer header: read where the member before it ends, not searched for.
+    longer = b"WARC/1.1\r\nWARC-Type: response\r\nX-Long: " + b"x" * warc.HEADER_BYTES + b"\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    first = gzip.compress(record(5))
+    data = first + gzip.compress(longer) + gzip.compress(record(7))
+    assert len(list(warc.records_in(at(data), 0, len(data)))) == 3
+    assert len(list(warc.records_in(at(data), len(first), len(data)))) == 1
+
+
+def test_warc_pages_with_very_long_urls_survive(spark):
+    rows = [(1, "http://a/" + "u" * 3_000_000, "<p>one</p>"), (2, "http://b/", "<p>two</p>"), (3, "http://c/" + "é" * warc.URL_BYTES, "x" * 2000), (4, None, "x" * 2000)]
+    files = warc.write(warc.decided(pages(spark, rows)), fresh_path(spark, "test-warc"))
+    for size in (100, 1 << 20):
+        got = warc.verified(files, warc.read_archives(files, size)).orderBy("page_id").collect()
+        assert [(r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in got] == [(1, None, "response", None), (2, "http://b/", "response", None), (3, None, "revisit", 4), (4, None, "response", None)]
+    with pytest.raises(ValueError, match="4 records were written, 3 read"):
+        warc.verified(files, warc.read_archives(files).where("page_id < 4"))
 
 
 def test_warc_reader_refuses_what_only_looks_like_a_member():
