@@ -10,15 +10,17 @@ sketch is a hash of the document: no contained item is lost, however long the do
 searched in the partitions whose least item is short enough for its own number of shingles: it gives
 those of its hashes that are at most the greatest sketch value of these.
 
+Items of fewer than 5 words have no such shingle. They are contained in a document if their words stand in it one after another: windows of as many
+words as such items have, if there are any, are looked up among them.
+
 Check. The documents of candidates are read again and the item's and the document's shingles are
 intersected as strings.
 
 Sketches, item shingles and candidates are broadcast only if counted and at most `broadcast_rows`
 (strings: a third of it); else both sides are shuffled, with the same rows.
 
-Defined results: null and blank texts have no shingles, contain nothing and are contained nowhere; a
-text of fewer than 5 words is one shingle of them all, so such an item is found only in
-a document of just these words; repeated shingles count once; repeated items with one id
+Defined results: null and blank texts have no shingles, contain nothing and are contained nowhere; an
+item of fewer than 5 words counts as one shingle of them all, a document of fewer has none of 5 words; repeated shingles count once; repeated items with one id
 are one item for each different text; repeated documents each get their rows; other columns are kept by `clean` and ignored
 by `matches`.
 """
@@ -56,7 +58,8 @@ def shingles_of(text: Column) -> Column:
 
 def sketches(items: DataFrame) -> DataFrame:
     """items (item_id, text) -> (item_id, item_key, n, largest, h): item_key tells texts of one id apart, n is the number of shingles, largest names the size partition."""
-    sized = items.select("item_id", F.xxhash64("text").alias("item_key"), F.sort_array(hashes_of(F.col("text"))).alias("a")).where("a IS NOT NULL").distinct()
+    long = items.where(F.size(_words(F.col("text"))) >= SHINGLE)
+    sized = long.select("item_id", F.xxhash64("text").alias("item_key"), F.sort_array(hashes_of(F.col("text"))).alias("a")).where("a IS NOT NULL").distinct()
     largest = F.pow(F.lit(2), F.ceil(F.log2(F.size("a")))).cast("int")
     k = F.least(F.size("a"), F.floor(largest / 5).cast("int") + 1)
     return sized.select("item_id", "item_key", F.size("a").alias("n"), largest.alias("largest"), F.explode(F.slice("a", F.lit(1), k)).alias("h"))
@@ -83,8 +86,27 @@ def candidates(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAS
     return found.select("doc_id", "doc_key", "item_id", "item_key").distinct()
 
 
+def _short_matches(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame | None:
+    """_matches() of the items of fewer than SHINGLE words; None where there are none."""
+    short = items.select("item_id", F.xxhash64("text").alias("item_key"), _words(F.col("text")).alias("w")).where(F.size("w").between(1, SHINGLE - 1)).distinct()
+    sizes = sorted(r["n"] for r in short.select(F.size("w").alias("n")).distinct().collect())
+    if not sizes:
+        return None
+    windows = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)]))).otherwise(F.array().cast("array<string>"))
+    probes = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), F.explode(let(_words(F.col("text")), lambda w: F.array_distinct(F.concat(*[windows(w, n) for n in sizes])))).alias("p"))
+    side = small_side(stored(short.select("item_id", F.array_join("w", " ").alias("phrase")), "short-items"), broadcast_rows)
+    found = probes.join(side, F.col("p") == F.col("phrase"))
+    one = F.lit(1).cast("long")
+    return found.select("doc_id", "doc_key", "item_id", one.alias("n_shared"), one.alias("n_item"))
+
+
 def _matches(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
     """(doc_id, doc_key, item_id, n_shared, n_item) of documents with an item contained."""
+    found, short = _long_matches(docs, items, broadcast_rows), _short_matches(docs, items, broadcast_rows)
+    return found if short is None else found.unionByName(short)
+
+
+def _long_matches(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
     cands = stored(candidates(docs, items, broadcast_rows), "candidates")
     by_doc = cands.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("item_id", "item_key")).alias("its")).withColumnsRenamed({"doc_id": "c_id", "doc_key": "c_key"})
     side = F.broadcast(by_doc) if cands.count() <= broadcast_rows else by_doc
@@ -119,15 +141,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op9_decontamination": op9_decontamination}
 
 
-def _sql(table: str, key: str) -> str:
+def _sql(table: str, key: str, sizes: str) -> str:
+    """Shingles of a table's texts: of 5 words, and of as many as `sizes` names."""
     words = r"""list_filter(regexp_split_to_array(translate(regexp_replace(coalesce(text, ''), '[.,;:!?"''()]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
-    return f"""SELECT r, {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS s
-  FROM (SELECT row_number() OVER () AS r, {key}, {words} AS w FROM {table})"""
+    return f"""SELECT r, {key}, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS s
+  FROM (SELECT row_number() OVER () AS r, {key}, {words} AS w FROM {table}), (SELECT unnest(range(1, 6)) AS n) WHERE n <= len(w) AND n IN ({sizes})"""
 
 
 ORACLES = {
     "op9_decontamination": f"""
-WITH d AS (SELECT DISTINCT * FROM ({_sql("documents", "doc_id")})), i AS (SELECT DISTINCT * FROM ({_sql("benchmark", "item_id")})),
+WITH d AS (SELECT DISTINCT * FROM ({_sql("documents", "doc_id", "1, 2, 3, 4, 5")})), i AS (SELECT DISTINCT * FROM ({_sql("benchmark", "item_id", "least(5, len(w))")})),
 n AS (SELECT r, item_id, count(*) AS n_item FROM i GROUP BY ALL)
 SELECT doc_id, n.item_id, count(*)::BIGINT AS n_shared, n_item::BIGINT AS n_item
 FROM d JOIN i USING (s) JOIN n ON i.r = n.r GROUP BY d.r, doc_id, n.r, n.item_id, n_item HAVING count(*) * 5 >= n_item * 4

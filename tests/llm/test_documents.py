@@ -262,6 +262,31 @@ def test_decontamination_of_many_sizes_by_brute_force(spark, sf_dir):
     with_automatic_broadcasts(spark, True)
 
 
+def test_decontamination_finds_items_of_one_to_four_words(spark):
+    import random
+
+    r = random.Random(9)
+    items = [(1, "The answer is forty"), (2, "forty"), (3, "is, forty"), (4, "a b c"), (5, "a b c d e f"), (2, "FORTY"), (6, None), (7, "forty-two"), (None, "b c")]
+    rows = [(i, " ".join(r.choice(("a", "b", "c", "d", "the", "answer", "is", "forty", "fortytwo", "x")) for _ in range(n))) for i, n in enumerate([0, 1, 2, 3, 4, 5, 6, 30, 300, 3000])]
+    rows += [(20, "We know that the answer, is forty."), (21, "the answer is not forty"), (21, "the answer is not forty"), (None, "a b c d e f g"), (22, "forty"), (23, None)]
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER | dict.fromkeys(map(ord, decontamination.PUNCTUATION))))
+    runs = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    want = Counter()
+    for j, u in set(items):
+        n = min(5, len(words(u)))
+        for i, t in rows:
+            both = len(runs(words(t), n) & runs(words(u), n)) if n else 0
+            if n and both * 5 >= len(runs(words(u), n)) * 4:
+                want[i, j, both, len(runs(words(u), n))] += 1
+    d, b = docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {k[:2] for k in want} >= {(20, 1), (20, 2), (20, 3), (22, 2), (None, 4), (None, 5), (None, None)}
+    for limit in (0, 500_000):
+        with_automatic_broadcasts(spark, limit > 0)
+        assert Counter(tuple(x) for x in decontamination.matches(d, b, broadcast_rows=limit).collect()) == want
+        assert {x["doc_id"] for x in decontamination.clean(d, b, broadcast_rows=limit).collect()} == {i for i, _ in rows} - {k[0] for k in want}
+    with_automatic_broadcasts(spark, True)
+
+
 def test_decontamination_by_brute_force_and_edges(spark):
     item = prose(11, 30).split()
     changed = [*item[:15], "other", *item[16:]]
