@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> callable) and ORACLES (name -> SQL).
-MODULES = ("evidloom.plans.text_queries", "evidloom.plans.graph_queries", "evidloom.plans.merge_queries", "evidloom.plans.stage2_queries", "evidloom.plans.ledger_queries", "evidloom.plans.ingest_queries", "evidloom.plans.contract_queries", "evidloom.plans.part_queries", "evidloom.plans.graph_dir_queries", "evidloom.plans.stage1_queries")
+MODULES = ("evidloom.plans.text_queries", "evidloom.plans.graph_queries", "evidloom.plans.merge_queries", "evidloom.plans.stage2_queries", "evidloom.plans.ledger_queries", "evidloom.plans.ingest_queries", "evidloom.plans.contract_queries", "evidloom.plans.part_queries", "evidloom.plans.graph_dir_queries", "evidloom.plans.stage1_queries", "evidloom.plans.sink_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
