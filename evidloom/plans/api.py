@@ -32,7 +32,7 @@ class EvidenceGraph:
         items = cut(E.requirement_items(templates, kinds))
         found = cut(E.evidence(E.first_hits(items, ledger)))
         parts = E.supplements(items, found)
-        return cls(ledger, items, found, parts["nodes"], parts["events"], parts["edges"], E.readiness(parts["status"]))
+        return cls(ledger, items, found, parts["nodes"], parts["events"], parts["edges"], E.readiness(parts["status"], parts["links"]))
 
     def save(self, base: str) -> None:
         writer = ManagedWriter(base, [f.name for f in fields(self)])

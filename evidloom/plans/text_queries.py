@@ -112,9 +112,10 @@ def evd_01_supplements(spark, sf_dir):
 
 
 def agg_04_readiness(spark, sf_dir):
-    """Coverage of each template's requirements over the corpus (AGG-04, EVD-03)."""
+    """Coverage of each template's requirements over the corpus, with what supports it (AGG-04, EVD-03)."""
     items = E.requirement_items(templates(spark, sf_dir), KINDS)
-    return E.readiness(E.supplements(items, E.evidence(_hits(spark, sf_dir)))["status"])
+    parts = E.supplements(items, E.evidence(_hits(spark, sf_dir)))
+    return E.readiness(parts["status"], parts["links"])
 
 
 def agg_07_ordered_distinct(spark, sf_dir):
@@ -177,8 +178,12 @@ UNION ALL SELECT doc_id, '', 'chunk_ledger_empty' FROM documents WHERE doc_id NO
     "evd_01_evidence": f"WITH {_HITS} SELECT evidence_id, doc_id AS source_id, requirement_id, chunk_id, b::BIGINT AS start, f::BIGINT AS \"end\" FROM ev",
     "evd_01_supplements": f"""WITH {_SUPPLEMENT} SELECT DISTINCT 'nodes' AS collection, node_id AS id, evidence_id FROM rows UNION ALL SELECT DISTINCT 'events', event_id, evidence_id FROM rows
 UNION ALL SELECT DISTINCT 'edges', 'edge:supports:' || {_SLUG("doc_id", "node_id", "event_id", "'supports'")}, evidence_id FROM rows""",
-    "agg_04_readiness": f"""WITH {_HITS}, st AS (SELECT items.*, requirement_id IN (SELECT requirement_id FROM hits) AS ok FROM items),
-miss AS (SELECT template_name, kind, min(ord) AS o FROM st WHERE NOT ok GROUP BY ALL), kinds AS (SELECT template_name, string_agg(kind, ',' ORDER BY o) AS k FROM miss GROUP BY 1)
-SELECT template_name, count(*)::BIGINT AS total, (count(*) FILTER (WHERE ok))::BIGINT AS covered, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 4) AS readiness_score, coalesce(any_value(k), '') AS missing_kinds FROM st LEFT JOIN kinds USING (template_name) GROUP BY template_name""",
+    "agg_04_readiness": f"""WITH {_SUPPLEMENT}, st AS (SELECT items.*, requirement_id IN (SELECT requirement_id FROM hits) AS ok FROM items),
+miss AS (SELECT template_name, kind, min(ord) AS o FROM st WHERE NOT ok GROUP BY ALL), kinds AS (SELECT template_name, string_agg(kind, ',' ORDER BY o) AS k FROM miss GROUP BY 1),
+held AS (SELECT template_name, count(DISTINCT node_id) AS n, count(DISTINCT (r.doc_id, node_id, event_id)) AS d, count(DISTINCT event_id) AS e, count(DISTINCT evidence_id) AS v FROM rows r JOIN items USING (requirement_id) GROUP BY 1),
+t AS (SELECT template_name, count(*)::BIGINT AS total, (count(*) FILTER (WHERE ok))::BIGINT AS covered FROM st GROUP BY template_name)
+SELECT template_name, total, covered, round(covered / total, 4) AS readiness_score, coalesce(k, '') AS missing_kinds, coalesce(n, 0) AS supporting_node_count, coalesce(d, 0) AS supporting_edge_count, coalesce(e, 0) AS supporting_event_count, coalesce(v, 0) AS evidence_count,
+  CASE WHEN total > covered THEN (total - covered) || ' of its requirements stand in no chunk' ELSE '' END AS note
+FROM t LEFT JOIN kinds USING (template_name) LEFT JOIN held USING (template_name)""",
     "agg_07_ordered_distinct": "SELECT user_id, string_agg(event_type, ',' ORDER BY o) AS types FROM (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY ALL) GROUP BY user_id",
 }
