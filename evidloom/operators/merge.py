@@ -52,7 +52,7 @@ def graph_review_status(states: DataFrame) -> DataFrame:
 def latest(rows: DataFrame, group: list[str], by: Column) -> DataFrame:
     """The row of each group with the greatest `by` (compared as its type says), by aggregation."""
     rest = [c for c in rows.columns if c not in group]
-    return rows.groupBy(*group).agg(F.max_by(F.struct(*rest), by).alias("l")).select(*group, "l.*")
+    return rows.groupBy(*group).agg(F.max_by(F.struct(*rest), F.struct(by, *rest)).alias("l")).select(*group, "l.*")
 
 
 def supplement(base: DataFrame, extra: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -46,7 +46,7 @@ def latest_results(results: DataFrame) -> DataFrame:
     parsed = results.select("template_name", "ord", F.coalesce(F.try_variant_get(v, "$.cases[0]", "variant"), v).alias("v")).where(F.col("v").isNotNull())
     parsed = parsed.where(F.schema_of_variant("v").startswith("OBJECT"))
     title = F.try_variant_get("v", "$.title", "string")
-    return parsed.groupBy("template_name").agg(F.max_by(title, "ord").alias("title"))
+    return parsed.groupBy("template_name").agg(F.max_by(title, F.struct("ord", title)).alias("title"))
 
 
 def drafts(results: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def finding_errors(findings: DataFrame, severities: list[str], statuses: list[st
 
 def review_gate(chunks: DataFrame, reviews: DataFrame, accepted: list[str]) -> DataFrame:
     """Chunk lanes (chunk_id, lane_id) and reviews (chunk_id, lane_id, status, ord; the last counts) -> chunk_id, lane_id, code of those that don't pass."""
-    last = reviews.groupBy(F.col("chunk_id").alias("rc"), F.col("lane_id").alias("rl")).agg(F.max_by("status", "ord").alias("status"))
+    last = reviews.groupBy(F.col("chunk_id").alias("rc"), F.col("lane_id").alias("rl")).agg(F.max_by("status", F.struct("ord", "status")).alias("status"))
     joined = chunks.join(last, (F.col("chunk_id") == F.col("rc")) & (F.col("lane_id") == F.col("rl")), "left")
     code = F.when(F.col("rc").isNull(), "review_missing").when(~F.coalesce(F.col("status").isin(accepted), F.lit(False)), "review_not_passed")
     return joined.select("chunk_id", "lane_id", code.alias("code")).where("code IS NOT NULL")

@@ -95,11 +95,11 @@ def jn_01_dangling_evidence(spark, sf_dir):
 
 
 def jn_02_dangling_ends(spark, sf_dir):
-    """Order lines whose part or supplier isn't a node (parts over 150 and suppliers over 8 are none)."""
+    """Order lines whose part or supplier isn't a node: parts whose key 13 divides and suppliers whose key 9 divides are none."""
     e = table(spark, sf_dir, "lineitem")
     ends = e.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item_id"), F.explode(F.array(F.concat(F.lit("part:"), "l_partkey"), F.concat(F.lit("supplier:"), "l_suppkey"))).alias("ref"))
-    parts = table(spark, sf_dir, "part").where("p_partkey <= 150").select(F.concat(F.lit("part:"), "p_partkey").alias("id"))
-    suppliers = table(spark, sf_dir, "supplier").where("s_suppkey <= 8").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"))
+    parts = table(spark, sf_dir, "part").where("p_partkey % 13 <> 0").select(F.concat(F.lit("part:"), "p_partkey").alias("id"))
+    suppliers = table(spark, sf_dir, "supplier").where("s_suppkey % 9 <> 0").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"))
     return V.dangling(ends, parts.unionByName(suppliers), "edge", "dangling_end")
 
 
@@ -258,7 +258,7 @@ SELECT coalesce(c_custkey, id) AS id, coalesce(label, c_name) AS label, coalesce
     "val_02_duplicate_ids": f"WITH {_GRAPH} SELECT 'node' AS scope, id AS item_id, 'node_duplicate_id' AS code FROM p GROUP BY id HAVING count(*) > 1",
     "jn_01_dangling_evidence": f"WITH {_GRAPH}, r AS (SELECT id, unnest(['evidence:' || (k % 150), 'evidence:' || k]) AS ref FROM p WHERE k % 13 <> 0) SELECT DISTINCT 'node' AS scope, id AS item_id, 'dangling_evidence:' || ref AS code FROM r WHERE ref NOT IN (SELECT 'evidence:' || c_custkey FROM customer)",
     "jn_02_dangling_ends": """WITH r AS (SELECT l_orderkey || '-' || l_linenumber AS id, unnest(['part:' || l_partkey, 'supplier:' || l_suppkey]) AS ref FROM lineitem)
-SELECT DISTINCT 'edge' AS scope, id AS item_id, 'dangling_end:' || ref AS code FROM r WHERE ref NOT IN (SELECT 'part:' || p_partkey FROM part WHERE p_partkey <= 150 UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_suppkey <= 8)""",
+SELECT DISTINCT 'edge' AS scope, id AS item_id, 'dangling_end:' || ref AS code FROM r WHERE ref NOT IN (SELECT 'part:' || p_partkey FROM part WHERE p_partkey % 13 <> 0 UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_suppkey % 9 <> 0)""",
     "jn_03_range_containment": f"""WITH {_CHUNKS}, i AS (SELECT doc_id::VARCHAR AS item_id, doc_id || CASE WHEN doc_id % 9 = 0 THEN ':chunk-0099' ELSE ':chunk-0001' END AS c, n_chars % 50 AS a, CASE WHEN doc_id % 8 <> 0 THEN (n_chars * 7) % 3000 END AS z FROM documents),
 k AS (SELECT doc_id || ':' || chunk_id AS c, s, e FROM chunks), x AS (SELECT i.*, k.s, k.e FROM i LEFT JOIN k ON i.c = k.c)
 SELECT 'range' AS scope, item_id, 'chunk_unknown' AS code FROM x WHERE s IS NULL UNION ALL SELECT 'range', item_id, 'source_range_invalid' FROM x WHERE z IS NULL OR z < a UNION ALL SELECT 'range', item_id, 'source_range_outside_chunk' FROM x WHERE a < s OR z > e""",

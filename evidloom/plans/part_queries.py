@@ -40,7 +40,7 @@ def src_07_json_artifacts(spark, sf_dir):
     """JSON artifacts with failure codes: a byte order mark, no JSON, too deep (SRC-07, SRC-08)."""
     k = F.col("s_suppkey")
     raw = F.when(k % 5 == 0, "{bad").when(k % 7 == 0, F.concat(F.lit("\ufeff"), F.lit('{"a":1}'))).when(k % 3 == 0, F.concat(F.repeat(F.lit("["), F.lit(9)), F.repeat(F.lit("]"), F.lit(9)))).otherwise(F.concat(F.lit('{"a":'), k, F.lit("}")))
-    s = table(spark, sf_dir, "supplier").where("s_suppkey < 40").select(k.alias("k"), raw.alias("text"))
+    s = table(spark, sf_dir, "supplier").select(k.alias("k"), raw.alias("text"))
     out = files.json_artifacts(spark, _written(spark, s, "artifacts"), "part-*", depth=8, refuse_bom=True)
     return out.select(F.regexp_extract("path", "k=([0-9]+)", 1).cast("long").alias("k"), "code")
 
@@ -214,7 +214,7 @@ _NODES_OF = " UNION ALL ".join(
 )
 ORACLES = {
     "src_01_texts": f"SELECT n_nationkey::BIGINT AS k, sha256({_TEXT}) AS sha256, octet_length(encode({_TEXT}))::BIGINT AS size, n_name || chr(10) || 'second ' || chr(10) || 'third' || chr(10) AS text, NULL::VARCHAR AS code FROM nation",
-    "src_07_json_artifacts": "SELECT s_suppkey::BIGINT AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'artifact_invalid_json' WHEN s_suppkey % 7 = 0 THEN 'artifact_has_bom' WHEN s_suppkey % 3 = 0 THEN 'artifact_too_deep' END AS code FROM supplier WHERE s_suppkey < 40",
+    "src_07_json_artifacts": "SELECT s_suppkey::BIGINT AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'artifact_invalid_json' WHEN s_suppkey % 7 = 0 THEN 'artifact_has_bom' WHEN s_suppkey % 3 = 0 THEN 'artifact_too_deep' END AS code FROM supplier",
     "snk_05_manifest": "SELECT c_custkey AS source_id, md5(c_name) AS sha256, CASE WHEN c_custkey % 3 = 0 THEN 'day 2' ELSE 'day 1' END AS created_at, 'day 2' AS updated_at, CASE WHEN c_custkey % 3 = 0 THEN 'new' WHEN c_custkey % 4 = 0 THEN 'success' ELSE 'pending' END AS status FROM customer",
     "snk_08_render_targets": " UNION ALL ".join(_TARGET.format(d=d, a=a, p=p) for d, a, p in (("true", "draft", "draft"), ("false", "backup_and_overwrite", "backup-and-overwrite"), ("false", "merge", "merge"))),
     "prj_09_dispatch_plan": "SELECT 1::BIGINT AS phase_no, 'templates' AS phase, n_nationkey::VARCHAR AS batch_id, 5::BIGINT AS n_packets FROM nation UNION ALL SELECT 2, 'lanes', s_suppkey::VARCHAR, 2 FROM supplier",

@@ -55,7 +55,7 @@ def upsert_each(target: str, key: str) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, number: int) -> None:
         rest = [c for c in batch.columns if c != key]
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), "changed_at").alias("l")).select(key, "l.*", F.lit(number).alias("batch_number"))
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("changed_at", *rest)).alias("l")).select(key, "l.*", F.lit(number).alias("batch_number"))
         last.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return write
@@ -65,4 +65,4 @@ def current(spark, target: str, key: str) -> DataFrame:
     """The last row of each key over all batches written by upsert_each()."""
     rows = spark.read.parquet(f"{target}/*")
     rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("batch_number", "changed_at")).alias("l")).select(key, "l.*").drop("batch_number")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("batch_number", "changed_at", *rest)).alias("l")).select(key, "l.*").drop("batch_number")

@@ -31,29 +31,6 @@ def test_provenance_of_a_hot_id_nulls_and_ties(spark):
     assert {r["id"]: (r["chunk_ids"], r["lane_paths"]) for r in out.collect()} == {"hot": (["c0", "c1", "c2"], ["l", None]), "none": ([], []), "tie": (["a", "b"], ["y", "z"]), None: ([], ["q"])}
 
 
-def test_short_lines_go_for_an_earlier_equal_one_alone(spark):
-    from evidloom.llm import line_dedup
-
-    texts = ["All rights reserved.\n\nyes\na b c d e", "All  rights reserved.\n\nAll rights kept.\nyes", "\tyes\n\na b c d f\nnew", None, "yes"]
-    out = line_dedup.mark(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string")).collect()
-    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in out} == {1: (4, 0, texts[0]), 2: (4, 2, "\nAll rights kept."), 3: (4, 2, "\nnew"), 4: (0, 0, None), 5: (1, 1, "")}
-
-
-def test_line_dedup_of_the_table_by_brute_force(spark, sf_dir):
-    from evidloom.llm import line_dedup
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    seen, equal = set(), {}
-    for r in docs.orderBy("doc_id").collect():
-        lines = [" ".join(x.split()) for x in (r["text"] or "").split("\n")]
-        equal[r["doc_id"]] = 0
-        for w in filter(None, lines):
-            equal[r["doc_id"]] += w in seen
-            seen.add(w)
-    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.mark(docs).collect()}
-    assert sum(equal.values()) > 0 and all(got[k] >= n for k, n in equal.items())
-
-
 def test_questions_walk_by_their_own_mode_and_depth(spark):
     from evidloom.operators import graph as G
 
