@@ -21,8 +21,8 @@ CHARS_PER_TOKEN = 3
 #: Optional parameters of a question: more terms, terms left out, types of seeds, contexts of the edges shown.
 LISTS = ("include_terms", "exclude_terms", "target_node_types", "context_filter")
 #: Fixed texts of a result: without terms, without a match, and behind a text that has been cut.
-NO_TERMS, NO_MATCH = "No query terms found.", "No matching nodes found."
-CUT = ("\n... (truncated — ", " more nodes cut by ~", "-token budget. Narrow with context_filter or use get_node for a specific symbol)")
+NO_TERMS, NO_MATCH = "The question has no word to search for.", "No node holds a word of the question."
+CUT = ("\n[", " nodes are left out to stay within ", " tokens: raise token_budget, or name context_filter, exclude_terms or target_node_types]")
 #: The shortest line of a text, an edge without names, with its end.
 LEAST_LINE = 13
 

@@ -170,3 +170,32 @@ def test_claimers_at_once_never_share_a_batch(spark, store):
 def test_replayed_claims_have_one_winner(spark):
     log = spark.createDataFrame([("a", "y", 2), ("a", "x", 2), ("a", "z", 5), ("b", "z", None), ("b", "y", 9)], "batch_id string, claimer string, seq bigint")
     assert {tuple(r) for r in S.winners(log.where("seq IS NOT NULL")).collect()} == {("a", "x", 2, 3), ("b", "y", 9, 1)}
+
+
+def test_verbs_prepare_claim_ingest_and_inspect(spark, tmp_path, capsys):
+    import json
+
+    from evidloom.__main__ import main
+
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "templates").mkdir()
+    (tmp_path / "bundles").mkdir()
+    (tmp_path / "texts/one.txt").write_text("Chapter one\nwords\nChapter two\nmore words")
+    (tmp_path / "templates/a.md").write_text("# A")
+    (tmp_path / "bundles/b1.json").write_text('{"chunk_id":"c","source_range":[0,9],"lane_outputs":[{"chunk_id":"c","lane_id":"l","output_status":"completed"}],"review_findings":[]}')
+    (tmp_path / "bundles/b2.json").write_text("[]")
+    store = f"file://{tmp_path}/store"
+
+    def said(*argv):
+        code = main([*argv, "--store", store])
+        return code, json.loads(capsys.readouterr().out)
+
+    assert said("inspect-store")[0] == 2 and said("claim-batches", "--claimer", "x", "--limit", "1")[1] == {"ok": False, "error": "not_prepared"}
+    code, out = said("prepare-stage1", "--source", f"{tmp_path}/texts/*.txt", "--template-dir", f"{tmp_path}/templates", "--heading", "Chapter .*", "--lane", "l:reader", "--lane", "m:writer:optional")
+    assert code == 0 and out["version"] == 1 and out["status"] == "prepared"
+    first, second = (said("claim-batches", "--claimer", n, "--limit", "1")[1]["claimed"] for n in ("x", "y"))
+    assert len(first) == len(second) == 1 and first != second and said("claim-batches", "--claimer", "z", "--limit", "9")[1]["claimed"] == []
+    code, out = said("ingest-stage1", "--bundles", f"{tmp_path}/bundles", "--lane", "l")
+    assert code == 2 and (out["status"], out["good"], out["bad"]) == ("failed", 1, 1)
+    code, out = said("inspect-store")
+    assert code == 0 and out["tables"] == {"bundle_errors": 1, "bundles": 1, "cache": 5, "chunks": 2, "claims": 2, "packets": 2, "runs": 2, "templates": 1}
