@@ -102,6 +102,6 @@ def test_graph_is_built_saved_validated_and_queried(spark, tmp_path):
     out = h.query(spark.createDataFrame([("q", "Where does the keeper live?", None, "1", None, None), ("none", "zzz", None, None, None, None)], kind)).collect()
     rows = {r["query_id"]: r for r in out}
     assert set(rows) == {"q", "none"} and "NODE lighthouse keeper lives [src= loc= type=requirement]" in rows["q"]["text"] and rows["q"]["nodes_found"] == 2
-    assert rows["none"]["nodes_found"] == 0 and rows["none"]["text"] == "No matching nodes found."
+    assert rows["none"]["nodes_found"] == 0 and rows["none"]["text"] == "No node holds a word of the question."
     broken = EvidenceGraph(h.chunks, h.requirements, h.evidence.where("start > 10"), h.nodes, h.events.where(F.lit(False)), h.edges, h.readiness)
     assert broken.errors().count() == 4  # a node, an edge and the far ends of two edges
