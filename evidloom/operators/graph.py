@@ -125,8 +125,62 @@ def bfs(starts: DataFrame, edges: DataFrame, hubs: DataFrame, depth: int, contex
 
 
 def dfs(starts: DataFrame, edges: DataFrame, hubs: DataFrame, depth: int) -> DataFrame:
-    """Visited nodes (query_id, node, place) of a depth-first walk that takes the last neighbour first."""
-    return _stack_walk(starts, edges, hubs, depth).where("v IS NULL").select("query_id", F.col("u").alias("node"), "place")
+    """Visited nodes (query_id, node, place) of a depth-first walk that takes the last neighbour first, by (ord, side), of equal ones the first by id.
+
+    The order is that of a stack, found by joins. A node's key is its way: the start, then what orders each step. A stack takes
+    ways by their keys, each before its continuations, and leaves a node once, so a node's key is the least that a step from the
+    keys of visited nodes gives it. Keys are taken anew from the keys of the round before until none changes: they have one
+    solution, and each of the first keys that is right stays right. Rounds are only over nodes that are left; others get their keys at the end.
+    """
+    first = F.min("place") if "place" in starts.columns else F.lit(0)
+    roots = starts.where(F.lit(depth > 0)).groupBy("query_id", "node").agg(first.cast("long").alias("p"))
+    roots = cut(roots.select("query_id", "node", _step(F.col("p"), F.lit(0), F.col("node")).alias("key")))
+    near = _left_by(roots.select("query_id", "node"), edges, hubs, depth - 1)
+    left = near.select(F.col("query_id").alias("lq"), F.col("u").alias("ln")).distinct()
+    inner = cut(near.join(left, (F.col("query_id") == F.col("lq")) & (F.col("v") == F.col("ln")), "left_semi"))
+    keys, before = cut(_keys(roots, roots, inner, depth)), roots
+    while not (keys.subtract(before).isEmpty() and before.subtract(keys).isEmpty()):
+        keys, before = cut(_keys(roots, keys, inner, depth)), keys
+    return _places(cut(_keys(roots, keys, near, depth)))
+
+
+def _step(ord: Column, side: Column, v: Column) -> Column:
+    """A key of one step."""
+    return F.array(F.struct(ord.alias("a"), side.cast("int").alias("b"), v.alias("c")))
+
+
+def _left_by(starts: DataFrame, edges: DataFrame, hubs: DataFrame, depth: int) -> DataFrame:
+    """Entries (query_id, u, v, ord, side) of the nodes that a walk may leave: those nearer than `depth`, hubs only as starts."""
+    adj = cut(adjacency(edges).where("v IS NOT NULL").select("u", "v", F.coalesce("ord", F.lit(0)).cast("long").alias("ord"), "side"))
+    hub = cut(hubs.select(F.col("node").alias("h")))
+    now = seen = starts
+    out = None
+    for level in range(max(0, depth)):
+        leaving = now.join(hub, F.col("node") == F.col("h"), "left_anti") if level else now
+        steps = cut(leaving.select("query_id", F.col("node").alias("n")).join(adj, F.col("n") == F.col("u")).select("query_id", "u", "v", "ord", "side"))
+        out = steps if out is None else out.unionByName(steps)
+        old = seen.select(F.col("query_id").alias("q"), F.col("node").alias("o"))
+        now = steps.select("query_id", F.col("v").alias("node")).distinct().join(old, (F.col("query_id") == F.col("q")) & (F.col("node") == F.col("o")), "left_anti")
+        seen = seen.unionByName(now)
+    return out if out is not None else starts.join(adj, F.col("node") == F.col("u")).where(F.lit(False)).select("query_id", "u", "v", "ord", "side")
+
+
+def _keys(roots: DataFrame, keys: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
+    """query_id, node, key: the least of a root's own key and of those that a step from `keys` gives."""
+    given = keys.where(F.size("key") < depth).select(F.col("query_id").alias("q"), F.col("node").alias("n"), "key")
+    steps = given.join(entries, (F.col("q") == F.col("query_id")) & (F.col("n") == F.col("u")))
+    way = F.concat("key", _step(F.bitwise_not("ord"), -F.col("side"), F.col("v")))
+    return roots.unionByName(steps.select("query_id", F.col("v").alias("node"), way.alias("key"))).groupBy("query_id", "node").agg(F.min("key").alias("key"))
+
+
+def _places(found: DataFrame) -> DataFrame:
+    """query_id, node, place: from 0 by key. Ranges of keys are numbered each by itself and moved on by what lies before."""
+    ranged = cut(found.repartitionByRange("query_id", "key").withColumn("part", F.spark_partition_id()))
+    counted = ranged.groupBy(F.col("query_id").alias("q"), F.col("part").alias("p")).agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("q").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    moved = counted.select("q", "p", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    own = ranged.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "part").orderBy("key")))
+    return own.join(moved, (F.col("query_id") == F.col("q")) & (F.col("part") == F.col("p"))).select("query_id", "node", (F.col("ahead") + F.col("n") - 1).cast("long").alias("place"))
 
 
 def _stack_walk(starts: DataFrame, edges: DataFrame, hubs: DataFrame, depth: int, limits: DataFrame | None = None) -> DataFrame:

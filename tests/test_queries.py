@@ -54,6 +54,40 @@ def test_depth_first_walk_equals_a_stack(spark, sf_dir):
     assert {tuple(r) for r in g.gr_05_dfs(spark, sf_dir).collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_depth_first_walk_of_random_graphs_needs_no_group(seed, spark):
+    import random
+
+    from evidloom.operators import graph as G
+
+    r, n, depth = random.Random(seed), 14, (3, 5, 1, 4)[seed]
+    edges = [(f"n{r.randrange(n)}", f"n{r.randrange(n)}", r.randrange(20)) for _ in range(30)]
+    hubs, starts = {"n1", "n5"}, {"a": ["n1", "n3"], "b": ["n7"], "c": ["n2", "n4", "n9"], "d": ["alone"]}
+    out = {}
+    for s, t, o in edges:
+        out.setdefault(s, []).append((o, 0, t))
+        out.setdefault(t, []).append((o, 1, s))
+    want = set()
+    for q, roots in starts.items():
+        stack, seen = [(x, 0) for x in reversed(roots)], []
+        while stack:
+            node, d = stack.pop()
+            if node in seen or d >= depth:
+                continue
+            seen.append(node)
+            if node not in hubs or node in roots:
+                ordered = sorted(sorted(out.get(node, []), key=lambda e: e[2], reverse=True), key=lambda e: e[:2])
+                stack += [(v, d + 1) for _, _, v in ordered]
+        want |= {(q, x, i) for i, x in enumerate(seen)}
+    found = G.dfs(
+        spark.createDataFrame([(q, x) for q, xs in starts.items() for x in xs], "query_id string, node string"),
+        spark.createDataFrame([(*e, "r", "k") for e in edges], "source string, target string, ord bigint, relation string, context string"),
+        spark.createDataFrame([(h,) for h in hubs], "node string"), depth,
+    )
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "Pandas" not in found._jdf.queryExecution().toString()
+
+
 def test_rendered_text_keeps_its_budget(spark, sf_dir):
     from evidloom.operators import graph as G
     from evidloom.plans import graph_queries as g
